@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import config_packing, fair_mix, host_reputation, html_layout, toxicity
+from . import byte_gru, config_packing, fair_mix, group_join, host_reputation, html_layout, toxicity, trigram_secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,15 +31,30 @@ def op3_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_reputation.judge(pages, outcomes).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_join.similar_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), width=3, percent=90)
+
+
+def op6_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trigram_secrets.digest(trigram_secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op8_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fair_mix.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
+def op9_byte_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out.alias("held_out"))
+    model = byte_gru.fit(docs.where("NOT held_out"))
+    return byte_gru.label(docs.select("doc_id", "text", "held_out"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op10_config_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return config_packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_html_layout, op3_host_reputation, op8_fair_mix, op10_config_packing)
+    f.__name__: f for f in (op1_toxicity, op2_html_layout, op3_host_reputation, op4_group_join, op6_trigram_secrets, op8_fair_mix, op9_byte_gru, op10_config_packing)
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_trigram_secrets": trigram_secrets.oracle_sql()}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_gru, config_packing, fair_mix, group_join, host_reputation, html_layout, toxicity, trigram_secrets
+from . import byte_gru, chroma, config_packing, fair_mix, graph_ann, group_join, host_reputation, html_layout, toxicity, trigram_secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,10 +35,20 @@ def op4_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_join.similar_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), width=3, percent=90)
 
 
+def op5_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no audio: each embedding is rendered as a recording (see chroma.melody)."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    return chroma.catalogue(chroma.fingerprints(rows, "v", decode=chroma.melody))
+
+
 def op6_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trigram_secrets.digest(trigram_secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op7_graph_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph_ann.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op8_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fair_mix.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
@@ -55,6 +65,6 @@ def op10_config_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_html_layout, op3_host_reputation, op4_group_join, op6_trigram_secrets, op8_fair_mix, op9_byte_gru, op10_config_packing)
+    f.__name__: f for f in (op1_toxicity, op2_html_layout, op3_host_reputation, op4_group_join, op5_chroma, op6_trigram_secrets, op7_graph_ann, op8_fair_mix, op9_byte_gru, op10_config_packing)
 }
 ORACLES: dict[str, str] = {"op6_trigram_secrets": trigram_secrets.oracle_sql()}

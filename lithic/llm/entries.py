@@ -67,4 +67,8 @@ def op10_config_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_toxicity, op2_html_layout, op3_host_reputation, op4_group_join, op5_chroma, op6_trigram_secrets, op7_graph_ann, op8_fair_mix, op9_byte_gru, op10_config_packing)
 }
-ORACLES: dict[str, str] = {"op6_trigram_secrets": trigram_secrets.oracle_sql()}
+ORACLES: dict[str, str] = {
+    "op3_host_reputation": host_reputation.oracle_sql(),
+    "op6_trigram_secrets": trigram_secrets.oracle_sql(),
+    "op8_fair_mix": fair_mix.ORACLE_SQL,
+}

@@ -121,3 +121,22 @@ def repeated(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, passes: int
     joined = sized.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size")), "left")
     times = F.when(F.col("_words") > 0, F.coalesce("_most", F.lit(1))).otherwise(1)
     return joined.withColumn("_copy", F.explode(F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>")))).select(*docs.columns)
+
+
+ORACLE_SQL = f"""
+WITH d AS (
+  SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
+    CASE WHEN source IS NULL THEN 't' ELSE 's' || source END AS src,
+    CAST('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h FROM documents),
+s AS (SELECT src, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY src),
+r AS (SELECT *, CASE (row_number() OVER (ORDER BY src) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w, source_size::DOUBLE * {PASSES} AS cap FROM s),
+v AS (
+  SELECT *, cap / w AS ratio, (sum(source_size) OVER ())::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / w, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+    sum(w) OVER (ORDER BY cap / w, src ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ws FROM r),
+f AS (SELECT max(rest / ws) AS level FROM v WHERE rest / ws <= ratio),
+t AS (SELECT src, source_size, CASE WHEN level IS NULL THEN cap ELSE least(cap, level * w) END AS target FROM v, f),
+q AS (SELECT d.*, source_size, target, (sum(size) OVER (PARTITION BY d.src ORDER BY h, doc_id, size))::DOUBLE AS cum FROM d JOIN t ON d.src = t.src),
+c AS (SELECT *, (cum + k::DOUBLE * source_size) / target AS finish FROM q, (SELECT unnest([0, 1, 2]) AS k) WHERE size > 0 AND target > 0),
+o AS (SELECT doc_id, h, size, src, k, sum(size) OVER (ORDER BY finish, k, h, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto FROM c),
+n AS (SELECT doc_id, src, size, count(*) AS times FROM o WHERE upto <= (SELECT sum(size) FROM d) GROUP BY doc_id, src, size)
+SELECT q.doc_id, q.size, q.source_size, q.target, CAST(q.size * coalesce(n.times, 0) AS BIGINT) AS taken FROM q LEFT JOIN n ON q.doc_id = n.doc_id AND q.src = n.src AND q.size = n.size"""

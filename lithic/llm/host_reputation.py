@@ -112,3 +112,37 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: tuple = RULES, z: float
         F.coalesce(rule["verdict"], F.when(low_bound > max_bad, "block").otherwise("allow")).alias("verdict"),
         rate["bad_rate"].alias("bad_rate"), low_bound.alias("bad_rate_low"),
     )
+
+
+def oracle_sql(rules: tuple = RULES, z: float = 1.645, max_bad: float = 0.25) -> str:
+    """The same verdicts by DuckDB, from pages(page_id, url) and labels(doc_id, quality)."""
+    listed = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in rules)
+    second = ", ".join(f"'{x}'" for x in SECOND_LEVEL)
+
+    def level(name: str, source: str) -> str:
+        m = "greatest(least(prior, 1 - 1e-6), 1e-6)"
+        return f"""{name}_k AS (SELECT coalesce(sum((bad - n * {m}) * (bad - n * {m}) - n * {m} * (1 - {m})) / nullif(sum(n * (n - 1) * {m} * (1 - {m})), 0), 0) AS rho FROM {source} WHERE n > 0),
+{name} AS (SELECT *, (1 / least(greatest((SELECT rho FROM {name}_k), 1e-4), 0.999) - 1) AS kappa FROM {source}),
+{name}_p AS (SELECT *, kappa * prior + bad AS a, kappa * (1 - prior) + (n - bad) AS b FROM {name})"""
+
+    return f"""
+WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host, regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM u),
+m AS (SELECT doc_id, max(CASE WHEN quality = 0 THEN 1 ELSE 0 END) AS bad FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY doc_id),
+g AS (SELECT host, count(m.bad) AS n, coalesce(sum(m.bad), 0)::BIGINT AS bad FROM p LEFT JOIN m ON page_id = doc_id GROUP BY host),
+b AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '[.]+$', '') AS bare FROM g),
+s AS (SELECT *, string_split(bare, '.') AS ps FROM b),
+e AS (SELECT *, len(ps) AS np, CASE WHEN len(ps) >= 3 AND length(ps[-1]) = 2 AND ps[-2] IN ({second}) THEN 3 ELSE 2 END AS keep, regexp_matches(bare, '^[0-9.]+$|^\\[') AS ip FROM s),
+hosts AS (SELECT host, n, bad, CASE WHEN ip OR np <= 1 THEN bare ELSE array_to_string(ps[greatest(np - keep + 1, 1):], '.') END AS domain,
+  CASE WHEN ip THEN '' WHEN np <= 1 THEN bare ELSE array_to_string(ps[greatest(np - keep + 2, 1):], '.') END AS suffix FROM e),
+l1 AS (SELECT suffix, sum(n)::BIGINT AS n, sum(bad)::BIGINT AS bad, (SELECT coalesce(sum(bad) / nullif(sum(n), 0), 0) FROM hosts) AS prior FROM hosts GROUP BY suffix),
+{level("s1", "l1")},
+l2 AS (SELECT h.domain, h.suffix, sum(h.n)::BIGINT AS n, sum(h.bad)::BIGINT AS bad, any_value(q.a / (q.a + q.b)) AS prior FROM hosts h JOIN s1_p q ON h.suffix = q.suffix GROUP BY h.domain, h.suffix),
+{level("s2", "l2")},
+l3 AS (SELECT h.host, h.n, h.bad, q.a / (q.a + q.b) AS prior FROM hosts h JOIN s2_p q ON h.domain = q.domain AND h.suffix = q.suffix),
+{level("s3", "l3")},
+low AS (SELECT host, greatest(a / (a + b) - {z} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))), 0) AS low FROM s3_p),
+hit AS (SELECT page_id, arg_max(h || r.path, length(h || r.path)) AS rule, arg_max(verdict, length(h || r.path)) AS verdict FROM p
+  JOIN (VALUES {listed}) AS r(verdict, h, path) ON (p.host = h OR ends_with(p.host, '.' || h)) AND starts_with(p.path, r.path) GROUP BY page_id)
+SELECT p.page_id, p.host, p.path, hit.rule, coalesce(hit.verdict, CASE WHEN low.low > {max_bad} THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN hit ON p.page_id = hit.page_id LEFT JOIN low ON p.host = low.host"""

@@ -42,11 +42,11 @@ def name_index(names: DataFrame, id_: str, name: str) -> DataFrame:
     return names.groupBy(name).agg(F.sort_array(F.collect_set(id_)).alias("ids"))
 
 
-def resolve(df: DataFrame, sources: list[tuple[DataFrame, str, str]], out: str) -> DataFrame:
-    """The first source, in order, that knows the key: (table, key column, value column)."""
+def resolve(df: DataFrame, on: str, sources: list[tuple[DataFrame, str, str]], out: str) -> DataFrame:
+    """The value of the first source, in order, that knows df's column `on`: (table, its key, its value)."""
     picks = []
     for k, (source, key, value) in enumerate(sources):
-        df = df.join(source.select(F.col(key).alias(f"_k{k}"), F.col(value).alias(f"_v{k}")), F.col(key) == F.col(f"_k{k}"), "left")
+        df = df.join(source.select(F.col(key).alias(f"_k{k}"), F.col(value).alias(f"_v{k}")), F.col(on) == F.col(f"_k{k}"), "left")
         picks.append(F.col(f"_v{k}"))
     return df.withColumn(out, F.coalesce(*picks)).drop(*[f"_{c}{k}" for k in range(len(sources)) for c in "kv"])
 

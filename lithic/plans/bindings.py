@@ -107,8 +107,8 @@ def callee_resolution(spark, sf_dir):
     calls = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 100).alias("k"))
     first = table(spark, sf_dir, "nation").where("n_regionkey = 1").select(F.col("n_nationkey").cast("long").alias("a"), F.col("n_nationkey").cast("long").alias("v"))
     second = table(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("b"), F.col("s_suppkey").alias("w"))
-    both = calls.join(F.broadcast(first), F.col("k") == F.col("a"), "left").join(second, F.col("k") == F.col("b"), "left")
-    return both.select("o_orderkey", F.coalesce("v", "w", F.lit(-1)).alias("callee"))
+    found = xref.resolve(calls, "k", [(first, "a", "v"), (second, "b", "w")], "callee")
+    return found.select("o_orderkey", F.coalesce("callee", F.lit(-1)).alias("callee"))
 
 
 @query("SELECT DISTINCT page_id FROM pages WHERE contains(html, 'href=\"/the\"')")

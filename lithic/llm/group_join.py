@@ -3,7 +3,8 @@
 A document is the set of its word shingles, and a node is a distinct set. Similar sets are brought together first:
 sets are cut into blocks of the token space, so that two sets over the threshold must agree in a whole block
 (pigeonhole), and each set is compared with the leader of the block it shares most. Verified links make groups of
-similar sets, whose members need no further comparison with each other. The matrix then works between groups: for
+similar sets, whose members need no further comparison with each other. (Sets must agree in several blocks, so the
+most frequent blocks of a set are left out, by the prefix principle.) The matrix then works between groups: for
 every block shared by different groups, the union of a group's tokens bounds the overlap of a query set with any
 member, and only groups whose bound reaches the threshold are opened and compared member by member. No link between
 different sets is lost; a pair within one group is never enumerated.
@@ -21,7 +22,6 @@ hashes.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,6 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .shared import cut, drop
 
@@ -79,14 +80,13 @@ def size_classes(percent: int) -> np.ndarray:
 
 @lru_cache(maxsize=4096)
 def blocks(c: int, percent: int) -> tuple[int, int]:
-    """(blocks, most blocks in which partners can differ) where the smaller set is of class c."""
-    bounds = size_classes(percent)
-    low, top = int(bounds[c]), int(bounds[c + 1]) - 1
+    """(blocks, most blocks in which partners can differ) where the smaller set is of class c.
+
+    Half as many blocks again as the pigeonhole needs, so that partners must agree in many, and rare ones suffice.
+    """
+    top = int(size_classes(percent)[c + 1]) - 1
     most = (100 - percent) * (top + 100 * top // percent) // (100 + percent)
-    if not most:
-        return 1, 0
-    empty = (most + 1) * math.exp(-low / (most + 1))
-    return most + 1 + math.ceil(empty + 2 * math.sqrt(empty)), most
+    return (3 * (most + 1) + 1) // 2 if most else 1, most
 
 
 @lru_cache(maxsize=512)
@@ -94,21 +94,30 @@ def edges(k: int) -> np.ndarray:
     return np.array([(j << 64) // k for j in range(1, k)], np.uint64)
 
 
-def signatures(tokens: np.ndarray, percent: int) -> np.ndarray:
-    """A 64-bit value for each block of the set, by its own class and the class below."""
+def signatures(tokens: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, class, spare) of each block of the set, by its own class and the class below.
+
+    A partner agrees in more than `spare` of a class's blocks, so the `spare` most frequent ones need not be looked up.
+    """
     if not len(tokens):
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
     own = int(np.searchsorted(size_classes(percent), len(tokens), side="right")) - 1
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(tokens ^ ODD[6]))])
-    out = []
+    sigs, classes, spares = [], [], []
     for c in (own, own - 1) if own else (own,):
         k, most = blocks(c, percent)
         at = np.concatenate([[0], np.searchsorted(tokens, edges(k)), [len(tokens)]])
         content = sums[at[1:]] - sums[at[:-1]]
         sig = mix(content + mix((np.arange(k, dtype=np.uint64) << U(16)) + U(c + 1)))
         full = at[1:] > at[:-1]
-        out.append(sig if k - int(full.sum()) >= k - most else sig[full])
-    return np.concatenate(out)
+        # Blocks empty on both sides agree too but are not registered, unless they could be all that agrees.
+        spare = int(full.sum()) - most - 1
+        if spare >= 0:
+            sig = sig[full]
+        sigs.append(sig)
+        classes.append(np.full(len(sig), c, np.int32))
+        spares.append(np.full(len(sig), max(spare, 0), np.int32))
+    return np.concatenate(sigs), np.concatenate(classes), np.concatenate(spares)
 
 
 def bitmap(df: DataFrame, column: str) -> np.ndarray:
@@ -134,7 +143,9 @@ def sets(docs: DataFrame, width: int, percent: int, emit: str, ids: np.ndarray |
     """
     sc = docs.sparkSession.sparkContext
     ids_b, sigs_b = (sc.broadcast(x) if x is not None else None for x in (ids, sigs))
-    schema = {"digest": "id long, n long, d long", "blocks": "sig long, d long", "tokens": "d long, tokens array<long>"}[emit]
+    schema = {"digest": "id long, n long, d long", "blocks": "sig long, d long, class int, spare int", "tokens": "d long, tokens array<long>"}[emit]
+    if emit == "blocks" and sigs is None:
+        schema = "sig long, d long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -152,12 +163,14 @@ def sets(docs: DataFrame, width: int, percent: int, emit: str, ids: np.ndarray |
                     yield pa.RecordBatch.from_arrays([pa.array(d), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], names=["d", "tokens"])
                 else:
                     each = [signatures(x, percent) for x in found]
-                    flat = np.concatenate([*each, np.zeros(0, np.uint64)])
-                    whose = np.repeat(d, [len(x) for x in each])
-                    if sigs_b is not None:
-                        on = hits(flat, sigs_b.value)
-                        flat, whose = flat[on], whose[on]
-                    yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(whose)], names=["sig", "d"])
+                    whose = np.repeat(d, [len(x[0]) for x in each])
+                    flat = np.concatenate([*(x[0] for x in each), np.zeros(0, np.uint64)])
+                    if sigs_b is None:
+                        yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(whose)], names=["sig", "d"])
+                        continue
+                    on = hits(flat, sigs_b.value)
+                    rest = [np.concatenate([*(x[k] for x in each), np.zeros(0, np.int32)]).astype(np.int32)[on] for k in (1, 2)]
+                    yield pa.RecordBatch.from_arrays([pa.array(flat[on].view(np.int64)), pa.array(whose[on]), *map(pa.array, rest)], names=["sig", "d", "class", "spare"])
 
     return docs.select(F.col("id").cast("long").alias("id"), "text").mapInArrow(run, schema)
 
@@ -198,17 +211,25 @@ def links_between(docs: DataFrame, known: DataFrame, width: int, percent: int) -
     texts = docs.select("id", "text")
     reps = bitmap(known.where("id IS NOT NULL"), "id")
     rows = sets(texts, width, percent, "blocks", ids=reps)
-    shared = cut(rows.groupBy("sig").agg(F.min("d").alias("lead"), F.max("d").alias("last")).where("lead <> last").select("sig", "lead"))
+    shared = cut(rows.groupBy("sig").agg(F.min("d").alias("_lo"), F.max("d").alias("_hi"), F.count(F.lit(1)).alias("often")).where("_lo <> _hi").select("sig", "often"))
     if not shared.limit(1).count():
         return None
-    members = cut(sets(texts, width, percent, "blocks", ids=reps, sigs=bitmap(shared, "sig")).join(shared, "sig").groupBy("sig", "d", "lead").agg(F.count(F.lit(1)).alias("_n")).drop("_n"))
+    again = sets(texts, width, percent, "blocks", ids=reps, sigs=bitmap(shared, "sig"))
+    held = again.join(shared, "sig").groupBy("sig", "d", "class", "spare", "often").agg(F.count(F.lit(1)).alias("_n"))
+    # Of each set's blocks of a class the `spare` most frequent are left out, in one order for all sets.
+    own = Window.partitionBy("d", "class")
+    ranked = held.withColumn("_r", F.row_number().over(own.orderBy(F.desc("often"), "sig"))).withColumn("weight", F.sum(F.log("often")).over(own))
+    kept = cut(ranked.where("_r > spare").select("sig", "d", "weight"))
+    # The leader of a block is the set whose own blocks are shared most: the middle of a family, not its edge.
+    leads = kept.groupBy("sig").agg(F.max_by("d", F.struct("weight", "d")).alias("lead"), F.min("d").alias("_lo"), F.max("d").alias("_hi")).where("_lo <> _hi").select("sig", "lead")
+    members = cut(kept.join(leads, "sig").select("sig", "d", "lead"))
     involved = members.select("d").distinct()
     ids = bitmap(known.join(involved, "d", "left_semi").where("id IS NOT NULL"), "id")
     tokens = cut(sets(texts, width, percent, "tokens", ids=ids).join(involved, "d", "left_semi").dropDuplicates(["d"]))
 
     # 1. Groups: each set against the leader with which it shares most blocks.
     ranked = members.where("d <> lead").groupBy("d", "lead").agg(F.count(F.lit(1)).alias("n"))
-    pairs = ranked.groupBy("d").agg(F.max_by("lead", F.struct("n", F.negative("lead"))).alias("lead")).select(F.col("d").alias("a"), F.col("lead").alias("b"))
+    pairs = ranked.groupBy("d").agg(F.max_by("lead", F.struct("n", "lead")).alias("lead")).select(F.col("d").alias("a"), F.col("lead").alias("b"))
     first = cut(verified(pairs, tokens, percent))
     groups = components(first).select(F.col("node").alias("d"), F.col("comp").alias("g"))
     grouped = cut(involved.join(groups, "d", "left").select("d", F.coalesce("g", "d").alias("g")))

@@ -173,8 +173,12 @@ def train(texts: list[str], langs: list[str], hidden: int = HIDDEN, steps: int =
 
 def fit(docs: DataFrame, max_docs: int = MAX_DOCS, text: str = "text", lang: str = "lang", key: str = "doc_id") -> ByteGRU | None:
     """Train on at most max_docs rows of docs with text and lang, chosen by a hash of the id."""
-    rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("t"), F.col(lang).alias("l"), F.xxhash64(key).alias("h"), F.col(key).alias("k"))
-    sample = [r for r in rows.orderBy("h", "k", "t", "l").limit(max_docs).collect() if has_letter(r["t"])]
+    usable = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
+    order = [F.xxhash64("_k"), F.col("_k")]
+    # The sample is chosen by id alone; only its own texts travel.
+    ids = usable.select(F.col(key).alias("_k")).where("_k IS NOT NULL").distinct().orderBy(*order).limit(max_docs)
+    rows = usable.select(F.col(key).alias("_k"), F.col(text).alias("t"), F.col(lang).alias("l")).join(F.broadcast(ids), "_k")
+    sample = [r for r in rows.orderBy(*order, "t", "l").limit(max_docs).collect() if has_letter(r["t"])]
     return train([r["t"] for r in sample], [r["l"] for r in sample]) if sample else None
 
 

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import fitted
+
 SEGMENT = 20
 HIDDEN = 16
 MAX_DOCS = 2000
@@ -178,8 +180,12 @@ def fit(docs: DataFrame, max_docs: int = MAX_DOCS, text: str = "text", lang: str
     # The sample is chosen by id alone; only its own texts travel.
     ids = usable.select(F.col(key).alias("_k")).where("_k IS NOT NULL").distinct().orderBy(*order).limit(max_docs)
     rows = usable.select(F.col(key).alias("_k"), F.col(text).alias("t"), F.col(lang).alias("l")).join(F.broadcast(ids), "_k")
-    sample = [r for r in rows.orderBy(*order, "t", "l").limit(max_docs).collect() if has_letter(r["t"])]
-    return train([r["t"] for r in sample], [r["l"] for r in sample]) if sample else None
+    return fitted(rows.select("t", "l", "_k").orderBy(*order, "t", "l").limit(max_docs), lambda r: train_rows(r["t"].to_pylist(), r["l"].to_pylist()))
+
+
+def train_rows(texts: list[str], langs: list[str]) -> ByteGRU | None:
+    known = [(t, n) for t, n in zip(texts, langs, strict=True) if has_letter(t)]
+    return train([t for t, _ in known], [n for _, n in known]) if known else None
 
 
 class Reader:

@@ -1,13 +1,14 @@
-"""What several operators of this subpackage share: cutting lineage, the word rule, salted prefix sums."""
+"""What several operators of this subpackage share: cutting lineage, the word rule, fitting on a bounded sample."""
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 #: The word rule of the contracts: everything between ASCII blanks.
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -33,6 +34,24 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def fitted(sample: DataFrame, fit: Callable[[pa.Table], object]) -> object:
+    """What fit makes of a bounded sample, worked out on an executor: the driver gets the model only.
+
+    sample must end in orderBy().limit(), which brings its rows together, in order.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = to_arrow_schema(sample.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = list(batches)
+        rows = pa.Table.from_batches(kept) if kept else schema.empty_table()
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(rows))], pa.binary())], names=["model"])
+
+    found = sample.mapInArrow(run, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else fit(schema.empty_table())
+
+
 def drop(df: DataFrame) -> None:
     """Remove what cut() wrote, once nothing reads it any more."""
     path = getattr(df, "scratch_path", None)
@@ -48,22 +67,3 @@ def buckets_for(rows: int, per_bucket: int = 200_000) -> int:
     while n * per_bucket < rows:
         n *= 2
     return n
-
-
-def prefix_sums(df: DataFrame, key: str, order: str, tie: str, value: str, parts: int, out: str) -> DataFrame:
-    """Add the inclusive running sum of value within key, ordered by (order, tie).
-
-    order is a non-negative BIGINT below 2**62 spread evenly. Each key is cut into ranges of order, every
-    range is summed (with partial aggregation), the few range totals are accumulated, and only a range
-    is ever sorted in one task: a key with a third of all rows is no one task's work.
-    """
-    width = (1 << 62) // parts
-    part = F.least(F.expr(f"{order} div {width}"), F.lit(parts - 1)).cast("int")
-    df = df.withColumn("_part", part)
-    totals = df.groupBy(key, "_part").agg(F.sum(value).alias("_total"))
-    before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(F.col(key).alias("_key"), F.col("_part").alias("_p"), F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_before"))
-    within = Window.partitionBy(key, "_part").orderBy(order, tie).rowsBetween(Window.unboundedPreceding, 0)
-    run = df.withColumn("_run", F.sum(value).over(within))
-    joined = run.join(starts, (F.col(key).eqNullSafe(F.col("_key"))) & (F.col("_part") == F.col("_p")))
-    return joined.withColumn(out, F.col("_run") + F.col("_before")).drop("_key", "_p", "_part", "_run", "_before")

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import fitted
+
 LETTERS = re.compile(r"[^\W\d_]+")
 GRAMS = (4, 5, 6)
 MAX_ROWS = 6000
@@ -94,28 +96,42 @@ class Scorer:
 
 def select_features(texts: list[str], toxic: np.ndarray) -> dict[str, int]:
     """Features over-represented in toxic texts, by a Chernoff bound on the binomial tail, corrected for their number."""
+    n_pos = int(toxic.sum())
+    if not n_pos or n_pos == len(toxic):
+        return {}
+
+    def distinct(text: str | None) -> set[str]:
+        return set(LETTERS.findall((text or "").lower()))
+
+    # Toxic texts, the fewer ones, name the features; the others are only counted against those.
     pos: Counter = Counter()
+    for text, bad in zip(texts, toxic, strict=True):
+        if bad:
+            pos.update(set().union(*map(word_features, distinct(text))))
+    tried = len(pos)
+    pos = Counter({f: c for f, c in pos.items() if c >= 4})
     neg: Counter = Counter()
-    cache: dict[str, set[str]] = {}
+    cache: dict[str, tuple[str, ...]] = {}
     for text, bad in zip(texts, toxic, strict=True):
+        if bad:
+            continue
         grams: set[str] = set()
-        for w in set(LETTERS.findall((text or "").lower())):
+        for w in distinct(text):
             if (g := cache.get(w)) is None:
-                g = word_features(w)
-                if len(cache) < CACHE:
+                g = tuple(f for f in word_features(w) if f in pos)
+                if len(cache) < CACHE // 8:
                     cache[w] = g
-            grams |= g
-        (pos if bad else neg).update(grams)
-    n_pos = int(toxic.sum())
-    if not n_pos or n_pos == len(toxic):
-        return {}
+            grams.update(g)
+        neg.update(grams)
     rate = n_pos / len(toxic)
-    names = [f for f, c in pos.items() if c >= 4]
+    names = list(pos)
+    if not names:
+        return {}
     a = np.array([pos[f] for f in names], float)
     n = a + np.array([neg[f] for f in names], float)
     share = np.clip(a / np.maximum(n, 1), 1e-9, 1 - 1e-9)
     bound = -n * (share * np.log(share / rate) + (1 - share) * np.log((1 - share) / (1 - rate)))
-    kept = (share > 0.5) & (bound < np.log(0.5 / max(1, len(pos) + len(neg))))
+    kept = (share > 0.5) & (bound < np.log(0.5 / (2 * tried)))
     order = np.lexsort((np.array(names, dtype=object), bound))
     return {names[i]: k for k, i in enumerate([i for i in order if kept[i]][:MAX_FEATURES])}
 
@@ -163,10 +179,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, text: str
     ids = labels.where(F.col("toxic").isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("_id")).agg(F.max("toxic").alias("_toxic"))
     ids = ids.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
     sample = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(ids), "_id")
-    rows = sample.orderBy(F.xxhash64("_id"), "_id").limit(max_rows).toPandas()
-    texts, toxic = rows["_text"].tolist(), rows["_toxic"].to_numpy(dtype=int) if len(rows) else np.zeros(0, int)
-    features = select_features(texts, toxic) if len(rows) else {}
-    scorer, r, c, v, hits = Scorer(features), [], [], [], np.zeros(len(rows))
+    return fitted(sample.select("_text", "_toxic", "_id").orderBy(F.xxhash64("_id"), "_id", "_text").limit(max_rows), lambda rows: fit_rows(rows["_text"].to_pylist(), rows["_toxic"].to_numpy().astype(int)))
+
+
+def fit_rows(texts: list[str | None], toxic: np.ndarray) -> OrdinalModel:
+    features = select_features(texts, toxic) if len(texts) else {}
+    scorer, r, c, v, hits = Scorer(features), [], [], [], np.zeros(len(texts))
     for i, t in enumerate(texts):
         found = scorer.counts(t)
         hits[i] = max(found.values(), default=0) if found else 0

@@ -116,9 +116,12 @@ def plan(docs: DataFrame, weights: tuple[float, ...], passes: int, seed: str) ->
 
 def repeated(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, passes: int = PASSES, seed: str = SEED) -> DataFrame:
     """docs with each row as often as the mix takes it; rows without words, which no weight concerns, stay once."""
-    taken = mix(docs, weights, passes, seed).where("size > 0").groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_size")).agg(F.min((F.col("taken") / F.col("size")).cast("int")).alias("_times"), F.max((F.col("taken") / F.col("size")).cast("int")).alias("_most"))
+    times = (F.col("taken") / F.col("size")).cast("int")
+    # Rows that repeat id and size are told apart by nothing; they are taken alike, as often as the most taken one.
+    taken = mix(docs, weights, passes, seed).where("size > 0").groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_size")).agg(F.max(times).alias("_most"))
     sized = docs.withColumn("_words", size_of(F.col("text")))
-    joined = sized.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size")), "left")
+    # A hash join keeps the texts unsorted.
+    joined = sized.join(taken.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size")), "left")
     times = F.when(F.col("_words") > 0, F.coalesce("_most", F.lit(1))).otherwise(1)
     return joined.withColumn("_copy", F.explode(F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>")))).select(*docs.columns)
 

@@ -37,8 +37,9 @@ from .shared import cut, drop
 U = np.uint64
 ODD = [U(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 SALT = [U((int(x) * (j + 1)) % (1 << 64)) for j, x in enumerate(ODD)]
-#: Bits of the bitmaps that tell workers which ids or blocks matter: 8 MB, whatever the input. Misses cost time, not links.
-BITS = 26
+#: Bitmaps tell workers which ids or blocks matter; they grow with the input up to 2**MOST_BITS bits (32 MB). Where they
+#: are too small, rows pass that need not: that costs time, never links.
+LEAST_BITS, MOST_BITS = 18, 28
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -82,11 +83,12 @@ def size_classes(percent: int) -> np.ndarray:
 def blocks(c: int, percent: int) -> tuple[int, int]:
     """(blocks, most blocks in which partners can differ) where the smaller set is of class c.
 
-    Half as many blocks again as the pigeonhole needs, so that partners must agree in many, and rare ones suffice.
+    More blocks than the pigeonhole needs, so that partners must agree in many, and rare ones suffice: half as many
+    again, or a quarter where the threshold is low and blocks are many already.
     """
     top = int(size_classes(percent)[c + 1]) - 1
     most = (100 - percent) * (top + 100 * top // percent) // (100 + percent)
-    return (3 * (most + 1) + 1) // 2 if most else 1, most
+    return (most + 1) + (most + 1) // (2 if percent >= 85 else 4) if most else 1, most
 
 
 @lru_cache(maxsize=512)
@@ -120,18 +122,22 @@ def signatures(tokens: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(sigs), np.concatenate(classes), np.concatenate(spares)
 
 
-def bitmap(df: DataFrame, column: str) -> np.ndarray:
-    """The column's values as bits of a fixed-size map; at most 2**(BITS - 6) rows reach the driver."""
-    low = F.col(column).bitwiseAND((1 << BITS) - 1)
+def bits_for(rows: int) -> int:
+    return min(max((64 * rows).bit_length(), LEAST_BITS), MOST_BITS)
+
+
+def bitmap(df: DataFrame, column: str, bits: int) -> np.ndarray:
+    """The column's values as bits of a map of 2**bits; at most 2**(bits - 6) rows reach the driver."""
+    low = F.col(column).bitwiseAND((1 << bits) - 1)
     bit = F.expr("shiftleft(1L, cast(_b as int))")
     words = df.select(F.shiftright(low, 6).alias("_w"), low.bitwiseAND(63).alias("_b")).groupBy("_w").agg(F.bit_or(bit).alias("_v")).toPandas()
-    out = np.zeros(1 << (BITS - 6), np.uint64)
+    out = np.zeros(1 << (bits - 6), np.uint64)
     out[words["_w"].to_numpy(dtype=np.int64)] = words["_v"].to_numpy(dtype=np.int64).view(np.uint64)
     return out
 
 
 def hits(values: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    low = values.astype(np.uint64) & U((1 << BITS) - 1)
+    low = values.astype(np.uint64) & U(64 * len(bits) - 1)
     return (bits[(low >> U(6)).astype(np.int64)] >> (low & U(63))) & U(1) == 1
 
 
@@ -145,7 +151,7 @@ def sets(docs: DataFrame, width: int, percent: int, emit: str, ids: np.ndarray |
     ids_b, sigs_b = (sc.broadcast(x) if x is not None else None for x in (ids, sigs))
     schema = {"digest": "id long, n long, d long", "blocks": "sig long, d long, class int, spare int", "tokens": "d long, tokens array<long>"}[emit]
     if emit == "blocks" and sigs is None:
-        schema = "sig long, d long"
+        schema = "sig long, d int"  # half of d tells sets apart well enough to count them, and shuffles less
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -166,7 +172,7 @@ def sets(docs: DataFrame, width: int, percent: int, emit: str, ids: np.ndarray |
                     whose = np.repeat(d, [len(x[0]) for x in each])
                     flat = np.concatenate([*(x[0] for x in each), np.zeros(0, np.uint64)])
                     if sigs_b is None:
-                        yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(whose)], names=["sig", "d"])
+                        yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(whose.astype(np.int32))], names=["sig", "d"])
                         continue
                     on = hits(flat, sigs_b.value)
                     rest = [np.concatenate([*(x[k] for x in each), np.zeros(0, np.int32)]).astype(np.int32)[on] for k in (1, 2)]
@@ -206,15 +212,15 @@ def verified(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     return near.where(F.col("_both") * 100 >= (F.col("_sum") - F.col("_both")) * percent).select("a", "b").distinct()
 
 
-def links_between(docs: DataFrame, known: DataFrame, width: int, percent: int) -> DataFrame | None:
+def links_between(docs: DataFrame, known: DataFrame, width: int, percent: int, bits: int) -> DataFrame | None:
     """d, comp for the sets that have links; None if there are none. known: d, id (of one row with the set)."""
     texts = docs.select("id", "text")
-    reps = bitmap(known.where("id IS NOT NULL"), "id")
+    reps = bitmap(known.where("id IS NOT NULL"), "id", bits)
     rows = sets(texts, width, percent, "blocks", ids=reps)
     shared = cut(rows.groupBy("sig").agg(F.min("d").alias("_lo"), F.max("d").alias("_hi"), F.count(F.lit(1)).alias("often")).where("_lo <> _hi").select("sig", "often"))
     if not shared.limit(1).count():
         return None
-    again = sets(texts, width, percent, "blocks", ids=reps, sigs=bitmap(shared, "sig"))
+    again = sets(texts, width, percent, "blocks", ids=reps, sigs=bitmap(shared, "sig", bits))
     held = again.join(shared, "sig").groupBy("sig", "d", "class", "spare", "often").agg(F.count(F.lit(1)).alias("_n"))
     # Of each set's blocks of a class the `spare` most frequent are left out, in one order for all sets.
     own = Window.partitionBy("d", "class")
@@ -224,7 +230,7 @@ def links_between(docs: DataFrame, known: DataFrame, width: int, percent: int) -
     leads = kept.groupBy("sig").agg(F.max_by("d", F.struct("weight", "d")).alias("lead"), F.min("d").alias("_lo"), F.max("d").alias("_hi")).where("_lo <> _hi").select("sig", "lead")
     members = cut(kept.join(leads, "sig").select("sig", "d", "lead"))
     involved = members.select("d").distinct()
-    ids = bitmap(known.join(involved, "d", "left_semi").where("id IS NOT NULL"), "id")
+    ids = bitmap(known.join(involved, "d", "left_semi").where("id IS NOT NULL"), "id", bits)
     tokens = cut(sets(texts, width, percent, "tokens", ids=ids).join(involved, "d", "left_semi").dropDuplicates(["d"]))
 
     # 1. Groups: each set against the leader with which it shares most blocks.
@@ -249,9 +255,16 @@ def links_between(docs: DataFrame, known: DataFrame, width: int, percent: int) -
         union = held.select("g", F.explode("tokens").alias("token")).distinct()
         query = wide.join(tokens, "d").select("d", "grp", F.size("tokens").alias("_need"), F.explode("tokens").alias("token"))
         bound = query.join(union, (F.col("grp") == union["g"]) & (query["token"] == union["token"])).groupBy("d", "grp", "_need").agg(F.count(F.lit(1)).alias("_both"))
-        opened = bound.where(F.col("_both") * 100 >= F.col("_need") * percent).select("d", "grp")
-        inside = cells.select("sig", F.col("d").alias("b"), F.col("g").alias("_g"))
-        near = cells.select("sig", "d").join(opened, "d").join(inside, "sig").where("grp = _g").select(F.col("d").alias("a"), "b").distinct()
+        # What the group's union lacks of the query, every member lacks: that bounds the size of members in reach.
+        most = F.expr(f"(_both * (100 + {percent})) div {percent} - _need")
+        opened = bound.withColumn("_most", most).where(F.col("_most") * 100 >= F.col("_need") * percent).select("d", "grp", "_need", "_most")
+        lengths = tokens.select(F.col("d").alias("b"), F.size("tokens").alias("_n"))
+        inside = cells.select("sig", F.col("d").alias("b"), F.col("g").alias("_g")).join(lengths, "b")
+        least = inside.groupBy(F.col("_g").alias("grp")).agg(F.min("_n").alias("_least"))
+        opened = opened.join(least, "grp").where("_most >= _least")
+        asking = cells.select("sig", "d").join(opened, "d").withColumnRenamed("sig", "_sig")
+        reach = (F.col("_sig") == F.col("sig")) & (F.col("grp") == F.col("_g")) & (F.col("_n") <= F.col("_most")) & (F.col("_n") * 100 >= F.col("_need") * percent)
+        near = asking.join(inside, reach).select(F.col("d").alias("a"), "b").distinct()
         alone = alone.union(near)
     second = cut(verified(alone.distinct(), tokens, percent))
     drop(tokens)
@@ -267,7 +280,7 @@ def similar_documents(docs: DataFrame, width: int = 3, percent: int = 90, key: s
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     all_sets = cut(sets(texts, width, percent, "digest"))
     known = cut(all_sets.where("n > 0").groupBy("d").agg(F.min("id").alias("id")))
-    linked = links_between(texts, known, width, percent)
+    linked = links_between(texts, known, width, percent, bits_for(known.count()))
     if linked is None:
         labels = known.select("d", F.col("id").alias("component_id"))
     else:
@@ -290,7 +303,7 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc
     gone = found.where("_id IS NOT NULL AND _id <> component_id").select("_id").distinct()
     repeated = found.where("_id IS NOT NULL").groupBy("_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_id")
     gone = cut(gone)
-    bits = docs.sparkSession.sparkContext.broadcast(bitmap(gone.union(repeated), "_id"))
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(gone.union(repeated), "_id", bits_for(found.count())))
     at = docs.columns.index(key)
 
     def split(wanted: bool):

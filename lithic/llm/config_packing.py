@@ -4,8 +4,8 @@ Documents are encoded, an end id is appended, and only documents over the capaci
 end, the remainder first. Piece lengths form a histogram of at most `capacity` bins, whatever the corpus. The linear
 program with one variable per configuration (a multiset of lengths that fits) is solved by multiplicative weights:
 lengths still short of their demand weigh more, the best configuration is priced by knapsack dynamic programming.
-Rounded down, the configurations are a plan of a bounded number of intervals; the rest, by count, goes best-fit
-decreasing. Pieces get a rank within their length by two-level counting and look their place up in the plan.
+Steps are whole numbers of sequences and go on until every length is covered, so the configurations are the plan, of
+a bounded number of intervals. Pieces get a rank within their length by two-level counting and look their place up in the plan.
 
 Defined results: a null or empty text is the end id alone. Repeated rows, also of one id, are packed each. An empty
 table gives no rows. Other columns are ignored; ids are per document row.
@@ -31,7 +31,6 @@ from .shared import buckets_for, cut
 CAPACITY = 1024
 END_ID = 2
 CACHE = 300_000
-MAX_CONFIGS = 6000
 
 
 def default_tokenizer() -> str:
@@ -129,44 +128,47 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
 
 
 def price(values: np.ndarray, lengths: np.ndarray, limit: np.ndarray, capacity: int) -> np.ndarray:
-    """The multiset of lengths of largest total value that fits: knapsack by dynamic programming over the capacity."""
-    best, pick = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    for c in range(1, capacity + 1):
-        k = np.searchsorted(lengths, c, side="right")
-        best[c], pick[c] = best[c - 1], -1
-        if k:
-            v = values[:k] + best[c - lengths[:k]]
+    """A multiset of lengths within the limits, of largest total value: knapsack by dynamic programming over the capacity.
+
+    The program knows no limits: what it takes beyond one is left out, and the room is priced again without that length.
+    """
+    worth, at = np.full(capacity + 1, -1.0), np.full(capacity + 1, -1)
+    worth[lengths], at[lengths] = np.where(limit > 0, values, -1.0), np.arange(len(lengths))
+    found, room, before = np.zeros(len(lengths), dtype=np.int64), capacity, -1
+    while room not in (0, before):
+        best, pick = np.zeros(room + 1), np.zeros(room + 1, dtype=np.int64)
+        for c in range(1, room + 1):
+            v = worth[1 : c + 1] + best[c - 1 :: -1]
             j = int(v.argmax())
-            if v[j] > best[c]:
-                best[c], pick[c] = v[j], j
-    found = np.zeros(len(lengths), dtype=np.int64)
-    c = capacity
-    while c > 0:
-        if pick[c] < 0:
-            c -= 1
-        else:
-            found[pick[c]] += 1
-            c -= lengths[pick[c]]
-    return np.minimum(found, limit)
-
-
-def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, epsilon: float = 0.15, most: int = 160) -> list[tuple[np.ndarray, float]]:
-    """A fractional cover of the demand: (configuration, how often), by multiplicative weights."""
-    demand = counts.astype(float)
-    covered = np.zeros(len(lengths))
-    found: dict[bytes, list] = {}
-    for _ in range(most):
-        short = covered < 1
-        if not short.any():
-            break
-        y = np.where(short, np.exp(-covered / epsilon), 0) / demand
-        # In proportion to length at equal coverage: full sequences come first.
-        config = price(np.where(short, lengths * (1 + y / max(y.max(), 1e-300)), 0.0), lengths, counts, capacity)
+            best[c], pick[c] = (v[j], j + 1) if v[j] > best[c - 1] else (best[c - 1], 0)
+        before = c = room
+        while c > 0:
+            n = int(pick[c])
+            c -= n or 1
+            if n and found[at[n]] < limit[at[n]]:
+                found[at[n]] += 1
+                room -= n
+            if n and found[at[n]] >= limit[at[n]]:
+                worth[n] = -1.0
+    return found
+
+
+def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, epsilon: float = 0.25) -> list[tuple[np.ndarray, int]]:
+    """A cover of the whole demand: (configuration, how often), by multiplicative weights.
+
+    Steps are whole, at most epsilon of the demand of the configuration's largest, so nothing is left to round. Each
+    covers about epsilon of some length or ends one, which bounds their number by that of lengths, whatever the counts.
+    """
+    left, found = counts.copy(), {}
+    while left.any():
+        share = left / counts
+        y = np.exp((share - share.max()) / epsilon)
+        # Full sequences first; among those long pieces, for which room is scarce, and what is least covered.
+        config = price(lengths * (1 + (0.3 + 0.05 * y) * lengths / capacity), lengths, left, capacity)
         used = config > 0
-        step = max(1.0, float(np.min(np.maximum((1 - covered[used]) * demand[used], 0) / config[used])))
-        step = min(step, max(1.0, float(epsilon * np.max(demand[used] / config[used]))))
-        found.setdefault(config.tobytes(), [config, 0.0])[1] += step
-        covered += config * step / demand
+        step = min(int((left[used] // config[used]).min()), max(1, int(epsilon * (counts[used] / config[used]).max())))
+        found.setdefault(config.tobytes(), [config, 0])[1] += step
+        left -= config * step
     return [(c, x) for c, x in found.values()]
 
 
@@ -194,39 +196,11 @@ def plan(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY) -> t
     full = lengths == capacity
     if full.any():
         place(np.where(full, 1, 0), int(counts[full][0]))
-    for _ in range(2):  # what rounding leaves is solved again
-        if left.sum() < 4 * len(lengths) or len(out) > MAX_CONFIGS:
-            break
-        has = left > 0
-        for config, times in sorted(solve(lengths[has], left[has], capacity), key=lambda c: -c[1]):
-            wide = np.zeros_like(counts)
-            wide[has] = config
-            on = wide > 0
-            times = min(int(times), int((left[on] // wide[on]).min())) if on.any() else 0
-            if times > 0 and int(wide @ lengths) >= 0.999 * capacity:
-                place(wide, times)
-    index = {int(n): j for j, n in enumerate(lengths)}
-    # The rest best-fit decreasing, by counts: each sequence starts with the longest piece and is closed as exactly as can be.
-    while left.any():
-        config = np.zeros_like(counts)
-        j = int(np.flatnonzero(left)[-1])
-        config[j], room = 1, capacity - int(lengths[j])
-        while room > 0:
-            rest = left - config
-            fits = np.flatnonzero((rest > 0) & (lengths <= room))
-            if not len(fits):
-                break
-            j = int(fits[-1])
-            if lengths[j] != room:  # no piece closes it alone: two that do, or else the longest
-                for a in fits[::-1]:
-                    other = index.get(room - int(lengths[a]))
-                    if other is not None and rest[other] > (other == a):
-                        j = int(a)
-                        break
-            config[j] += 1
-            room -= int(lengths[j])
-        on = config > 0
-        place(config, max(1, int((left[on] // config[on]).min())))
+    has = left > 0
+    for config, times in solve(lengths[has], left[has], capacity):
+        wide = np.zeros_like(counts)
+        wide[has] = config
+        place(wide, times)
     return out, sequences
 
 
@@ -248,7 +222,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     within = Window.partitionBy("length", "_b").orderBy("doc_id", "piece", "start", "ids_crc32")
     ranked = ranked.withColumn("_r", F.row_number().over(within) - 1).join(base, (F.col("length") == F.col("_l")) & (F.col("_b") == F.col("_k")))
     ranked = ranked.withColumn("_rank", F.col("_r") + F.col("_base"))
-    # The plan has a bounded number of intervals (MAX_CONFIGS configurations and the rest's), so it can be broadcast.
+    # The plan has a bounded number of intervals (see solve), so it can be broadcast.
     hit = (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_first")) & (F.col("_rank") < F.col("_first") + F.col("_ranks"))
     placed = ranked.join(F.broadcast(places), hit)
     nth = F.col("_rank") - F.col("_first")

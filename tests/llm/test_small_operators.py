@@ -292,5 +292,15 @@ def test_plan_covers_every_piece_and_beats_first_fit():
         assert least <= n <= least * 1.03 + 2
 
 
+def test_linear_program_covers_all_demand():
+    r = np.random.default_rng(2)
+    for lengths, counts in ((np.arange(1, 1024), 300 + r.integers(0, 30, 1023)), (np.arange(3, 900, 7), r.integers(1, 4, 129)), (np.array([600]), np.array([5]))):
+        covered = sum(config * times for config, times in config_packing.solve(lengths, counts, 1024))
+        assert np.array_equal(covered, counts)
+        _, n = config_packing.plan(lengths, counts)
+        least = max(-(-int((lengths * counts).sum()) // 1024), int(counts[lengths > 512].sum()))
+        assert least <= n <= least * 1.03 + 2
+
+
 def test_spread_of_crc(spark):
     assert spark.range(1).select(F.crc32(F.lit("7"))).first()[0] == zlib.crc32(b"7")

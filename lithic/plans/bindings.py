@@ -461,8 +461,8 @@ def ancestor_chain(spark, sf_dir):
 
 
 def one_graph(spark, sf_dir):
-    """The call graph as one bundle's, callees in id order."""
-    e = edges(spark, sf_dir)
+    """The call graph of all line items as one bundle's, callees in id order."""
+    e = edges(spark, sf_dir, sparse=False)
     return e.select(F.lit("nations").alias("bundle"), F.col("src").cast("long"), F.col("dst").cast("long"), F.col("dst").cast("long").alias("ordinal"))
 
 

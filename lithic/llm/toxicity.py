@@ -29,17 +29,21 @@ LETTERS = re.compile(r"[^\W\d_]+")
 GRAMS = (4, 5, 6)
 MAX_ROWS = 6000
 MAX_FEATURES = 4096
-#: A word longer than this has the n-grams of its first and last halves of the bound only through its own feature.
-LONGEST_WORD = 64
 CACHE = 400_000
 
 
+def grams(word: str) -> Iterator[str]:
+    """The word itself and its n-grams with a mark at its start, repeated ones again."""
+    yield word
+    marked = "^" + word
+    for n in GRAMS:
+        for i in range(len(marked) - n + 1):
+            yield marked[i : i + n]
+
+
 def word_features(word: str) -> set[str]:
     """The word itself and its n-grams with a mark at its start."""
-    if len(word) > LONGEST_WORD:
-        return {word}
-    marked = "^" + word
-    return {word, *(marked[i : i + n] for n in GRAMS for i in range(len(marked) - n + 1))}
+    return set(grams(word))
 
 
 @dataclass
@@ -84,7 +88,7 @@ class Scorer:
             for w in fresh:
                 if self.dismissed(w):
                     continue
-                if ids := [self.features[g] for g in word_features(w) if g in self.features]:
+                if ids := {self.features[g] for g in grams(w) if g in self.features}:
                     self.hot[w] = ids
             self.seen |= fresh
         found: Counter = Counter()
@@ -115,14 +119,14 @@ def select_features(texts: list[str], toxic: np.ndarray) -> dict[str, int]:
     for text, bad in zip(texts, toxic, strict=True):
         if bad:
             continue
-        grams: set[str] = set()
+        met: set[str] = set()
         for w in distinct(text):
             if (g := cache.get(w)) is None:
-                g = tuple(f for f in word_features(w) if f in pos)
+                g = tuple({f for f in grams(w) if f in pos})
                 if len(cache) < CACHE // 8:
                     cache[w] = g
-            grams.update(g)
-        neg.update(grams)
+            met.update(g)
+        neg.update(met)
     rate = n_pos / len(toxic)
     names = list(pos)
     if not names:

@@ -39,6 +39,17 @@ def test_toxicity_separates_and_orders(spark):
     assert toxicity.score(docs, model).count() == len(rows) + len(odd)
 
 
+def test_toxicity_reads_long_unbroken_runs():
+    rows, labels = toxic_corpus()
+    toxic = {i: bad for i, _, bad in labels}
+    model = toxicity.fit_rows([t for i, t, *_ in rows if i in toxic], np.array([toxic[i] for i, *_ in rows if i in toxic]))
+    scorer = toxicity.Scorer(model.features)
+    word = max((f for f in model.features if not f.startswith("^")), key=lambda f: (len(f), f))
+    glued = "q" * 100 + word + "q" * 100
+    assert scorer.counts(glued) and set(scorer.counts(glued)) == {k for f, k in model.features.items() if f in toxicity.word_features(glued)}
+    assert scorer.counts("q" * 300) == {}
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "some words")], "doc_id long, text string")
     model = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"))

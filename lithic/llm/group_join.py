@@ -30,6 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from .shared import cut, drop
@@ -275,8 +276,8 @@ def links_between(docs: DataFrame, known: DataFrame, width: int, percent: int, b
     return cut(out)
 
 
-def similar_documents(docs: DataFrame, width: int = 3, percent: int = 90, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_shingles, component_id for each row: the smallest key reachable through links of Jaccard >= percent / 100."""
+def labelled(docs: DataFrame, width: int, percent: int, key: str, text: str) -> DataFrame:
+    """id, n, d (the digest of its set), component_id for each row; see similar_documents."""
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     all_sets = cut(sets(texts, width, percent, "digest"))
     known = cut(all_sets.where("n > 0").groupBy("d").agg(F.min("id").alias("id")))
@@ -287,10 +288,14 @@ def similar_documents(docs: DataFrame, width: int = 3, percent: int = 90, key: s
         named = known.join(linked, "d", "left").select("d", "id", F.coalesce("comp", "d").alias("comp"))
         smallest = named.groupBy("comp").agg(F.min("id").alias("component_id"))
         labels = named.join(smallest, "comp").select("d", "component_id")
-    sized = all_sets.withColumn("_d", F.when(F.col("n") > 0, F.col("d")))
     # Rows without a set match nothing and keep their own id.
-    full = sized.where("n > 0").join(labels, "d").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
-    return full.unionByName(sized.where("n = 0").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.col("id").alias("component_id")))
+    full = all_sets.where("n > 0").join(labels, "d").select("id", "n", "d", F.coalesce("component_id", "id").alias("component_id"))
+    return full.unionByName(all_sets.where("n = 0").select("id", "n", "d", F.col("id").alias("component_id")))
+
+
+def similar_documents(docs: DataFrame, width: int = 3, percent: int = 90, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, n_shingles, component_id for each row: the smallest key reachable through links of Jaccard >= percent / 100."""
+    return labelled(docs, width, percent, key, text).select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id")
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -298,22 +303,30 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc
 
     Repeated rows (equal key and text) are reduced to one; rows without a key or without words stay. Only rows whose
     id may have to go (by a bitmap of fixed size, which errs to one side) are shuffled, the others pass straight through.
+    Of an id with several texts only the rows go whose own set is a near copy: rows are told by id and digest.
     """
-    found = cut(similar_documents(docs, width, percent, key, text).withColumnRenamed(key, "_id"))
-    gone = found.where("_id IS NOT NULL AND _id <> component_id").select("_id").distinct()
+    found = cut(labelled(docs, width, percent, key, text).withColumnRenamed("id", "_id"))
+    gone = found.where("_id IS NOT NULL AND _id <> component_id").select("_id", F.col("d").alias("_d")).distinct()
     repeated = found.where("_id IS NOT NULL").groupBy("_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_id")
     gone = cut(gone)
-    bits = docs.sparkSession.sparkContext.broadcast(bitmap(gone.union(repeated), "_id", bits_for(found.count())))
-    at = docs.columns.index(key)
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(gone.select("_id").union(repeated), "_id", bits_for(found.count())))
+    columns = docs.columns
+    at, where = columns.index(key), columns.index(text)
+    with_digest = StructType([*docs.schema.fields, StructField("_digest", LongType())])
 
     def split(wanted: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 ids = b.column(at).cast(pa.int64())
                 on = hits(np.asarray(ids.fill_null(0)), bits.value) & ~np.asarray(ids.is_null())
-                yield b.filter(pa.array(on == wanted))
+                b = b.filter(pa.array(on == wanted))
+                if wanted:
+                    d = np.array([digest(shingle_set(t.as_py(), width)) for t in b.column(where)], np.uint64).view(np.int64)
+                    b = pa.RecordBatch.from_arrays([*b.columns, pa.array(d)], names=[*columns, "_digest"])
+                yield b
 
-        return docs.mapInArrow(run, docs.schema)
+        return docs.mapInArrow(run, with_digest if wanted else docs.schema)
 
-    checked = split(True).join(gone, F.col(key) == F.col("_id"), "left_anti").dropDuplicates([key, text])
+    same = (F.col(key) == F.col("_id")) & (F.col("_digest") == F.col("_d"))
+    checked = split(True).join(gone, same, "left_anti").dropDuplicates([key, text]).drop("_digest")
     return split(False).unionByName(checked)

@@ -69,6 +69,12 @@ def test_keep_one(spark):
     assert got.columns == ["doc_id", "text", "d"]
 
 
+def test_keep_one_tells_texts_of_one_id_apart(spark):
+    copied, alone = "a b c d e f g h", "other words that stand alone here"
+    df = spark.createDataFrame([(1, copied), (2, copied), (2, alone), (3, alone)], "doc_id long, text string")
+    assert sorted(map(tuple, group_join.keep_one(df).collect())) == [(1, copied), (2, alone)]
+
+
 def prefixes_meet(a, b, percent):
     found = []
     for x in (a, b):

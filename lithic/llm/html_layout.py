@@ -21,7 +21,8 @@ MAX_DEPTH = 200
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>?", re.S)
 ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 SPACE = re.compile(r"[ \t\n\r\f]+")
-HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+HIDDEN_STYLE = re.compile(r"display\s*:\s*none", re.I)
+VISIBILITY = re.compile(r"(?<![\w-])visibility\s*:\s*(visible|hidden|collapse)", re.I)
 RAW = ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes")
 RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>?", re.I) for t in RAW}
 # Element classes of the HTML standard.
@@ -29,7 +30,11 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table ul".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure hr menu".split())
 CLOSES_P = BLOCK - frozenset("body html li dt dd option optgroup legend summary".split())
-UNSEEN = frozenset("head script style template noscript iframe object audio video canvas svg math noembed noframes datalist title meta link".split())
+UNSEEN = frozenset("head script style template noscript iframe object audio video canvas annotation annotation-xml noembed noframes datalist title meta link".split())
+#: Parts of drawings that are not drawn where they stand, or not at all.
+UNDRAWN = frozenset("defs symbol clippath mask pattern marker metadata desc".split())
+#: Inside these, a drawing or formula holds HTML again.
+INTEGRATION = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
 TABLE_PARTS = frozenset("table caption colgroup thead tbody tfoot tr td th".split())
 #: A start tag closes the nearest of these, unless one of the barriers comes first.
 IMPLIED_END = {
@@ -60,6 +65,7 @@ def build(html: str) -> Node:
     root = Node("#root", {})
     stack = [root]
     at = 0
+    foreign_met = False
 
     def close(tags: tuple[str, ...], barriers: tuple[str, ...]) -> None:
         for k in range(len(stack) - 1, 0, -1):
@@ -69,6 +75,15 @@ def build(html: str) -> Node:
             if stack[k].tag in barriers:
                 return
 
+    def foreign() -> int:
+        """Where on the stack the innermost drawing or formula begins, 0 outside."""
+        for k in range(len(stack) - 1, 0, -1):
+            if stack[k].tag in ("svg", "math"):
+                return k
+            if stack[k].tag in INTEGRATION:
+                return 0
+        return 0
+
     while at < len(html):
         m = TOKEN.search(html, at)
         text = html[at : m.start() if m else len(html)]
@@ -88,6 +103,11 @@ def build(html: str) -> Node:
             continue
         raw = m[3] or ""
         node = Node(tag, attributes(raw) if raw.strip(" /\n\t\r") else {})
+        within = foreign() if foreign_met else 0
+        if within and tag in BLOCK:  # HTML blocks end a drawing or formula that was left open
+            del stack[within:]
+            within = 0
+        foreign_met = foreign_met or tag in ("svg", "math")
         if tag in ("html", "body") and any(n.tag == tag for n in stack):
             continue
         if tag == "body":
@@ -109,11 +129,25 @@ def build(html: str) -> Node:
             body = html[at : end.start() if end else len(html)]
             node.kids.append(unescape(body) if tag in ("textarea", "title") else body)
             at = end.end() if end else len(html)
-        elif tag not in VOID and len(stack) < MAX_DEPTH:
+        elif tag not in VOID and len(stack) < MAX_DEPTH and not ((within or tag in ("svg", "math")) and raw.endswith("/")):
             stack.append(node)  # a slash does not close an HTML element
+    if "visibility" in html.lower():
+        hide(root, True)
     return root
 
 
+def hide(node: Node, shown: bool, drawn: bool = False) -> None:
+    """Take out the text that visibility hides: it is inherited, and descendants can turn it on again."""
+    drawn = drawn or node.tag == "svg"
+    if said := VISIBILITY.findall(node.attrs.get("style", "")) or ([node.attrs["visibility"]] if drawn and node.attrs.get("visibility") else []):
+        shown = said[-1].lower() == "visible"
+    if not shown:
+        node.kids = [k for k in node.kids if not isinstance(k, str)]
+    for kid in node.kids:
+        if not isinstance(kid, str):
+            hide(kid, shown, drawn)
+
+
 def visible(node: Node) -> bool:
     if node.tag in UNSEEN:
         return False
@@ -252,6 +286,8 @@ def render(node: Node, flow: Flow, pre: bool = False) -> None:
             else:
                 flow.inline = []
                 flow.gap = max(flow.gap, 1) if flow.lines else 0
+        elif tag == "svg":
+            draw(kid, flow)
         elif tag == "table":
             flow.edge(1)
             if lines := table_lines(kid):
@@ -298,6 +334,19 @@ def render(node: Node, flow: Flow, pre: bool = False) -> None:
             render(kid, flow, pre)
 
 
+def draw(node: Node, flow: Flow) -> None:
+    """The labels of a drawing, each on a line of its own."""
+    for kid in node.kids:
+        if isinstance(kid, str) or kid.tag in UNDRAWN or kid.attrs.get("display") == "none" or not visible(kid):
+            continue
+        if kid.tag in ("text", "foreignobject"):
+            flow.edge(0)
+            render(kid, flow)
+            flow.edge(0)
+        else:
+            draw(kid, flow)
+
+
 def text_of(html: str | None) -> str | None:
     return None if html is None else "\n".join(lines_of(build(html)))
 

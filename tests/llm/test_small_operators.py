@@ -262,6 +262,20 @@ def test_encoder_equals_the_tokenizer(tokenizer):
     assert all(enc.encode(t) == enc.whole(t) for t in texts)
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("a <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>no</annotation></math> b", "a x=2 b"),
+        ("a<svg><title>no</title><defs><text>no</text></defs><path d='M0'/><text>one <tspan>two</tspan></text><g><text>three</text></g>no</svg>b", "a\none two\nthree\nb"),
+        ("<svg><g><path/><p>after</p>", "after"),
+        ("<div style='visibility:hidden'>no <b style='visibility: visible'>yes</b> no</div>", "yes"),
+        ("<div style='backface-visibility:hidden'>yes</div>", "yes"),
+    ],
+)
+def test_visible_text_of_formulas_drawings_and_hidden_parents(html, text):
+    assert html_layout.text_of(html) == text
+
+
 def test_packing_round_trip(spark, tokenizer):
     r = random.Random(2)
     rows = [(i, " ".join(r.choices(["alpha", "beta", "gamma", "é", "delta!"], k=r.choice([0, 3, 200, 700, 2500])))) for i in range(60)] + [(100, None), (101, ""), (5, "again"), (5, "again")]

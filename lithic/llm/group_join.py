@@ -4,10 +4,14 @@ A document is the set of its word shingles, and a node is a distinct set. Simila
 sets are cut into blocks of the token space, so that two sets over the threshold must agree in a whole block
 (pigeonhole), and each set is compared with the leader of the block it shares most. Verified links make groups of
 similar sets, whose members need no further comparison with each other. (Sets must agree in several blocks, so the
-most frequent blocks of a set are left out, by the prefix principle.) The matrix then works between groups: for
-every block shared by different groups, the union of a group's tokens bounds the overlap of a query set with any
-member, and only groups whose bound reaches the threshold are opened and compared member by member. No link between
-different sets is lost; a pair within one group is never enumerated.
+most frequent blocks of a set are left out, by the prefix principle.)
+
+The token-group matrix then works between groups, over the sets that still share a block with another group: its
+cells are the tokens that groups share, each set's rarest ones first, with the room that is left for a link after
+them. Tokens that name one set of their largest group merge more groups, in rounds; then query sets ask the groups
+with which a cell leaves room, the union of a group's tokens bounds the overlap of a query with any member, and only
+groups whose bound reaches the threshold are opened, for the members with a common cell. No link between different
+sets is lost; a pair within one group is never enumerated.
 
 The sizes of sets fix the number of blocks: sizes fall into classes as wide as the threshold allows partners to
 differ, and a set is cut by its own class and by the class below. Blocks that are empty on both sides do not count
@@ -17,7 +21,7 @@ Defined results: words are what lies between ASCII blanks, A-Z lower-cased. Fewe
 one shingle. Null, empty or blank texts have the empty set, n_shingles 0, and link with nothing (each is its own
 component). Repeated rows are returned once each; they link through their equal sets unless these are empty. A null
 id is kept and gets the component of its set. Extra columns are ignored. Sets and shingles are held as 64-bit
-hashes.
+hashes and not compared beyond them: among n distinct sets two have equal digests with a chance of n * n / 2**65.
 """
 
 from __future__ import annotations
@@ -41,6 +45,10 @@ SALT = [U((int(x) * (j + 1)) % (1 << 64)) for j, x in enumerate(ODD)]
 #: Bitmaps tell workers which ids or blocks matter; they grow with the input up to 2**MOST_BITS bits (32 MB). Where they
 #: are too small, rows pass that need not: that costs time, never links.
 LEAST_BITS, MOST_BITS = 18, 28
+#: A key with 1/HOT of all rows or more is hot.
+HOT = 1024
+#: So many pairs (16 bytes each) are broadcast.
+FEW = 1_000_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -152,7 +160,7 @@ def sets(docs: DataFrame, width: int, percent: int, emit: str, ids: np.ndarray |
     ids_b, sigs_b = (sc.broadcast(x) if x is not None else None for x in (ids, sigs))
     schema = {"digest": "id long, n long, d long", "blocks": "sig long, d long, class int, spare int", "tokens": "d long, tokens array<long>"}[emit]
     if emit == "blocks" and sigs is None:
-        schema = "sig long, d int"  # half of d tells sets apart well enough to count them, and shuffles less
+        schema = "sig long, d long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -173,7 +181,7 @@ def sets(docs: DataFrame, width: int, percent: int, emit: str, ids: np.ndarray |
                     whose = np.repeat(d, [len(x[0]) for x in each])
                     flat = np.concatenate([*(x[0] for x in each), np.zeros(0, np.uint64)])
                     if sigs_b is None:
-                        yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(whose.astype(np.int32))], names=["sig", "d"])
+                        yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(whose)], names=["sig", "d"])
                         continue
                     on = hits(flat, sigs_b.value)
                     rest = [np.concatenate([*(x[k] for x in each), np.zeros(0, np.int32)]).astype(np.int32)[on] for k in (1, 2)]
@@ -182,16 +190,27 @@ def sets(docs: DataFrame, width: int, percent: int, emit: str, ids: np.ndarray |
     return docs.select(F.col("id").cast("long").alias("id"), "text").mapInArrow(run, schema)
 
 
+def matched(left: DataFrame, key: str, right: DataFrame) -> DataFrame:
+    """left joined with right, where key is unique; left is read from a file.
+
+    Keys with 1/HOT of the left rows or more are at most HOT: their right rows are broadcast, the others are shuffled.
+    """
+    total = left.count()
+    hot = F.broadcast(left.groupBy(key).agg(F.count(F.lit(1)).alias("_often")).where(F.col("_often") * HOT >= total + HOT).limit(HOT).select(key))
+    few = F.broadcast(right.join(hot, key, "left_semi"))
+    return left.join(hot, key, "left_anti").join(right, key).unionByName(left.join(few, key))
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, comp (smallest node reachable) for every node of links(a, b): smallest neighbour's label, then pointer jumping."""
-    both = cut(links.select("a", "b").union(links.select("b", "a")).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")))
+    both = cut(links.select("a", F.col("b").alias("node")).union(links.select("b", "a")).distinct())
+    labels = cut(both.groupBy("a").agg(F.least(F.min("node"), F.first("a")).alias("comp")).withColumnRenamed("a", "node"))
     while True:
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("comp").alias("_near"))
+        near = matched(both, "node", labels).groupBy("a").agg(F.min("comp").alias("_near"))
         step = labels.join(near, F.col("node") == F.col("a"), "left").select("node", F.col("comp").alias("_old"), F.least("comp", "_near").alias("comp"))
         step = cut(step)
-        jump = step.select(F.col("node").alias("_n"), F.col("comp").alias("_up"))
-        after = cut(step.join(jump, F.col("comp") == F.col("_n"), "left").select("node", "_old", F.least("comp", F.coalesce("_up", "comp")).alias("comp")))
+        jump = step.select(F.col("node").alias("comp"), F.col("comp").alias("_up"))
+        after = cut(matched(step, "comp", jump).select("node", "_old", F.least("comp", "_up").alias("comp")))
         moved = after.where("comp <> _old").limit(1).count()
         drop(step)
         drop(labels)
@@ -202,15 +221,86 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of sets that reach the threshold."""
-    left = tokens.select(F.col("d").alias("a"), F.col("tokens").alias("_ta"))
-    right = tokens.select(F.col("d").alias("b"), F.col("tokens").alias("_tb"))
+    """The pairs (a, b) of sets, read from a file, that reach the threshold.
+
+    Each side fetches its tokens by itself, and the two meet by pair, so that a set with many partners loads no one
+    task. Up to FEW pairs are sent to where the tokens are; beyond, the tokens of hot sets are.
+    """
+    few = pairs.count() <= FEW
+
+    def side(key: str, out: str) -> DataFrame:
+        own = tokens.select(F.col("d").alias(key), F.col("tokens").alias(out))
+        return own.join(F.broadcast(pairs), key) if few else matched(pairs, key, own)
+
+    joined = side("a", "_ta").join(side("b", "_tb"), ["a", "b"])
     # Sets differ in size by the threshold at most; those arrays that differ by more are not compared.
-    joined = pairs.join(left, "a").join(right, "b")
     small, large = F.least(F.size("_ta"), F.size("_tb")), F.greatest(F.size("_ta"), F.size("_tb"))
     both = F.size(F.array_intersect("_ta", "_tb"))
     near = joined.where(small * 100 >= large * percent).select("a", "b", (F.size("_ta") + F.size("_tb")).alias("_sum"), both.alias("_both"))
-    return near.where(F.col("_both") * 100 >= (F.col("_sum") - F.col("_both")) * percent).select("a", "b").distinct()
+    return near.where(F.col("_both") * 100 >= (F.col("_sum") - F.col("_both")) * percent).select("a", "b")
+
+
+def merged(grouped: DataFrame, links: DataFrame) -> DataFrame:
+    """grouped (d, g) with the groups that links (a, b) between sets join made one."""
+    ends = links.join(grouped.toDF("a", "ga"), "a").join(grouped.toDF("b", "gb"), "b")
+    joined = components(ends.select(F.col("ga").alias("a"), F.col("gb").alias("b")).where("a <> b").distinct())
+    return cut(grouped.join(joined.select(F.col("node").alias("g"), "comp"), "g", "left").select("d", F.coalesce("comp", "g").alias("g")))
+
+
+def open_sets(members: DataFrame, grouped: DataFrame) -> DataFrame:
+    """d, g of the sets that share a block with a set of another group."""
+    cells = members.select("sig", "d").join(grouped, "d")
+    shared = cells.groupBy("sig").agg(F.min("g").alias("_lo"), F.max("g").alias("_hi")).where("_lo <> _hi").select("sig")
+    return cells.join(shared, "sig", "left_semi").select("d", "g").distinct()
+
+
+def matrix(members: DataFrame, grouped: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
+    """token, d, n, room: the cells of the token-group matrix that can decide whether sets of two groups are linked.
+
+    Each set's tokens are put in one order for all, those of one group only first, then the rarest. After the first
+    token that two sets share they have no more in common than what follows it in either: room >= percent * n of the
+    partner says that this is enough for a link, so each linked pair has such a token, on both sides. Frequent tokens
+    (common passages, the text that a family of copies shares) come last and have no room.
+    """
+    each = cut(tokens.join(open_sets(members, grouped), "d").select("d", "g", F.size("tokens").alias("n"), F.explode("tokens").alias("token")))
+    often = each.groupBy("token").agg(F.count(F.lit(1)).alias("often"), (F.min("g") != F.max("g")).alias("shared"))
+    order = Window.partitionBy("d").orderBy(F.coalesce("shared", F.lit(False)), "often", "token")
+    # Tokens of one set only join nothing and come first all the same.
+    ranked = each.join(often.where("shared"), "token", "left").withColumn("_r", F.row_number().over(order))
+    room = F.expr(f"(n - _r + 1) * {100 + percent} - {percent} * n")
+    # A partner's size is at least percent / 100 of the set's.
+    out = cut(ranked.where("shared").select("token", "d", "n", room.alias("room")).where(f"room * 100 >= {percent * percent} * n"))
+    drop(each)
+    return out
+
+
+def still_open(cells: DataFrame, grouped: DataFrame) -> DataFrame:
+    """token, d, n, room, g of the cells whose token different groups share."""
+    named = cells.join(grouped, "d")
+    shared = named.groupBy("token").agg(F.min("g").alias("_lo"), F.max("g").alias("_hi")).where("_lo <> _hi").select("token")
+    return cut(named.join(shared, "token", "left_semi").select("token", "d", "n", "room", "g"))
+
+
+def contracted(cells: DataFrame, grouped: DataFrame, tokens: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(open cells, d and g): groups merged in rounds, until a round finds little more.
+
+    In a round each token names one set of its largest group, another one each time, and the token's sets of other
+    groups are compared with it: a round's pairs are at most the cells, whatever the sizes of groups.
+    """
+    held, before, turn = still_open(cells, grouped), None, 0
+    fits = f"g <> lead_g AND room >= {percent} * lead_n AND lead_room >= {percent} * n"
+    while (now := held.count()) and (before is None or now < 0.8 * before):
+        before, turn = now, turn + 1
+        columns = held.groupBy("token", "g").agg(F.count(F.lit(1)).alias("size"), F.max_by(F.struct("d", "n", "room"), F.xxhash64("d", F.lit(turn))).alias("lead"))
+        leads = columns.groupBy("token").agg(F.max_by(F.struct("lead", "g"), F.struct("size", "g")).alias("_l"))
+        leads = leads.select("token", F.col("_l.lead.d").alias("lead"), F.col("_l.lead.n").alias("lead_n"), F.col("_l.lead.room").alias("lead_room"), F.col("_l.g").alias("lead_g"))
+        asks = held.join(leads, "token").where(fits).groupBy("d", "lead_g", "lead").agg(F.count(F.lit(1)).alias("often"))
+        pairs = cut(asks.groupBy("d", "lead_g").agg(F.max_by("lead", F.struct("often", "lead")).alias("b")).select(F.col("d").alias("a"), "b"))
+        grouped = merged(grouped, verified(pairs, tokens, percent))
+        drop(pairs)
+        drop(held)
+        held = still_open(cells, grouped)
+    return held, grouped
 
 
 def links_between(docs: DataFrame, known: DataFrame, width: int, percent: int, bits: int) -> DataFrame | None:
@@ -234,46 +324,37 @@ def links_between(docs: DataFrame, known: DataFrame, width: int, percent: int, b
     ids = bitmap(known.join(involved, "d", "left_semi").where("id IS NOT NULL"), "id", bits)
     tokens = cut(sets(texts, width, percent, "tokens", ids=ids).join(involved, "d", "left_semi").dropDuplicates(["d"]))
 
-    # 1. Groups: each set against the leader with which it shares most blocks.
+    # 1. Groups: each set against the leader with which it shares most blocks, then contraction in rounds.
     ranked = members.where("d <> lead").groupBy("d", "lead").agg(F.count(F.lit(1)).alias("n"))
-    pairs = ranked.groupBy("d").agg(F.max_by("lead", F.struct("n", "lead")).alias("lead")).select(F.col("d").alias("a"), F.col("lead").alias("b"))
-    first = cut(verified(pairs, tokens, percent))
-    groups = components(first).select(F.col("node").alias("d"), F.col("comp").alias("g"))
-    grouped = cut(involved.join(groups, "d", "left").select("d", F.coalesce("g", "d").alias("g")))
+    pairs = cut(ranked.groupBy("d").agg(F.max_by("lead", F.struct("n", "lead")).alias("lead")).select(F.col("d").alias("a"), F.col("lead").alias("b")))
+    grouped = merged(cut(involved.select("d", F.col("d").alias("g"))), verified(pairs, tokens, percent))
+    cells, grouped = contracted(matrix(members, grouped, tokens, percent), grouped, tokens, percent)
 
-    # 2. The matrix: blocks that different groups share give (query set, group); the smaller group asks.
+    # 2. Query sets against groups: the smaller group asks, where the sizes of sets allow a link.
     sizes = grouped.groupBy("g").agg(F.count(F.lit(1)).alias("size"))
-    cells = members.select("sig", "d").join(grouped, "d")
-    open_sigs = cells.groupBy("sig").agg(F.min("g").alias("_lo"), F.max("g").alias("_hi")).where("_lo <> _hi").select("sig")
-    cells = cut(cells.join(open_sigs, "sig", "left_semi").join(sizes, "g"))
-    columns = cells.groupBy("sig", "g", "size").agg(F.count(F.lit(1)).alias("_n")).select("sig", F.col("g").alias("grp"), F.col("size").alias("_size"))
-    asks = cells.join(columns, "sig").where("g <> grp AND (size < _size OR (size = _size AND g < grp))")
-    asks = cut(asks.groupBy("d", "grp", "_size").agg(F.count(F.lit(1)).alias("_n")).drop("_n"))
-    alone = asks.where("_size = 1").select(F.col("d").alias("a"), F.col("grp").alias("b"))
+    cells = cut(cells.join(sizes, "g"))
+    columns = cells.groupBy("token", F.col("g").alias("grp"), F.col("size").alias("_size")).agg(F.min("n").alias("_n"), F.max("room").alias("_room"))
+    reach = f"room >= {percent} * _n AND _room >= {percent} * n"
+    asks = cells.join(columns, "token").where(f"g <> grp AND (size < _size OR (size = _size AND g < grp)) AND {reach}")
+    asks = cut(asks.groupBy("d", "grp", "_size").agg(F.count(F.lit(1)).alias("often")))
+    pairs = asks.where("_size = 1").select(F.col("d").alias("a"), F.col("grp").alias("b"))
     wide = asks.where("_size > 1").select("d", "grp")
     if wide.limit(1).count():
+        # The union of a group's tokens bounds what any member shares with the query.
         held = tokens.join(grouped, "d").join(wide.select(F.col("grp").alias("g")).distinct(), "g", "left_semi")
-        union = held.select("g", F.explode("tokens").alias("token")).distinct()
+        union = held.select(F.col("g").alias("grp"), F.explode("tokens").alias("token")).distinct()
         query = wide.join(tokens, "d").select("d", "grp", F.size("tokens").alias("_need"), F.explode("tokens").alias("token"))
-        bound = query.join(union, (F.col("grp") == union["g"]) & (query["token"] == union["token"])).groupBy("d", "grp", "_need").agg(F.count(F.lit(1)).alias("_both"))
+        bound = query.join(union, ["grp", "token"]).groupBy("d", "grp", "_need").agg(F.count(F.lit(1)).alias("_both"))
         # What the group's union lacks of the query, every member lacks: that bounds the size of members in reach.
-        most = F.expr(f"(_both * (100 + {percent})) div {percent} - _need")
-        opened = bound.withColumn("_most", most).where(F.col("_most") * 100 >= F.col("_need") * percent).select("d", "grp", "_need", "_most")
-        lengths = tokens.select(F.col("d").alias("b"), F.size("tokens").alias("_n"))
-        inside = cells.select("sig", F.col("d").alias("b"), F.col("g").alias("_g")).join(lengths, "b")
-        least = inside.groupBy(F.col("_g").alias("grp")).agg(F.min("_n").alias("_least"))
-        opened = opened.join(least, "grp").where("_most >= _least")
-        asking = cells.select("sig", "d").join(opened, "d").withColumnRenamed("sig", "_sig")
-        reach = (F.col("_sig") == F.col("sig")) & (F.col("grp") == F.col("_g")) & (F.col("_n") <= F.col("_most")) & (F.col("_n") * 100 >= F.col("_need") * percent)
-        near = asking.join(inside, reach).select(F.col("d").alias("a"), "b").distinct()
-        alone = alone.union(near)
-    second = cut(verified(alone.distinct(), tokens, percent))
+        bounded = F.expr(f"(_both * (100 + {percent})) div {percent} - _need")
+        opened = bound.withColumn("_reach", bounded).where(F.col("_reach") * 100 >= F.col("_need") * percent).select("d", "grp", "_reach")
+        asking = cells.select("token", "d", "n", "room").join(opened, "d")
+        inside = cells.select("token", F.col("g").alias("grp"), F.col("d").alias("b"), F.col("n").alias("_n"), F.col("room").alias("_room"))
+        near = asking.join(inside, ["token", "grp"]).where(f"_n <= _reach AND {reach}").select(F.col("d").alias("a"), "b")
+        pairs = pairs.union(near.distinct())
+    out = merged(grouped, verified(cut(pairs.distinct()), tokens, percent))
     drop(tokens)
-    name = grouped.select(F.col("d").alias("_d"), "g")
-    across = second.join(name.toDF("a", "ga"), "a").join(name.toDF("b", "gb"), "b").select(F.col("ga").alias("a"), F.col("gb").alias("b")).where("a <> b").distinct()
-    merged = components(across).select(F.col("node").alias("g"), "comp")
-    out = grouped.join(merged, "g", "left").select("d", F.coalesce("comp", "g").alias("comp"))
-    return cut(out)
+    return out.select("d", F.col("g").alias("comp"))
 
 
 def labelled(docs: DataFrame, width: int, percent: int, key: str, text: str) -> DataFrame:

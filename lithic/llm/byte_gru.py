@@ -8,7 +8,8 @@ backpropagation through time over a bounded, documented sample of labelled rows
 
 Defined results: a null text, or one without a letter, is `und` with score 0. Without any labelled training row
 every text is `und`. Ties go to the language first in code-point order. Repeated rows get equal answers. Extra
-columns pass through.
+columns pass through, but for those named like a result. Training uses at most WORDS_PER_DOC segments of a training
+row, spread over its whole text; prediction reads all of every text.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .shared import fitted
 
@@ -214,13 +216,14 @@ class Reader:
         return out
 
 
-def label(docs: DataFrame, model: ByteGRU | None, text: str = "text") -> DataFrame:
-    """docs with lang_pred and score; narrow."""
+def label(docs: DataFrame, model: ByteGRU | None, text: str = "text", out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with the language and its probability under the names out, which replace columns of these names; narrow."""
+    kept = [k for k, n in enumerate(docs.columns) if n not in out]
+    fields = [docs.schema[k] for k in kept]
     if model is None:
-        return docs.withColumn("lang_pred", F.lit("und")).withColumn("score", F.lit(0.0))
-    fields = docs.schema
-    at = fields.names.index(text)
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["lang_pred string", "score double"])
+        return docs.select(*[f"`{f.name}`" for f in fields], F.lit("und").alias(out[0]), F.lit(0.0).alias(out[1]))
+    at = docs.columns.index(text)
+    schema = StructType([*fields, StructField(out[0], StringType()), StructField(out[1], DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(model)
@@ -234,6 +237,6 @@ def label(docs: DataFrame, model: ByteGRU | None, text: str = "text") -> DataFra
                     p = reader.read([texts[i] for i in known])
                     for i, row in zip(known, p, strict=True):
                         pred[i], score[i] = model.langs[int(row.argmax())], float(row.max())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(pred), pa.array(score)], names=[*fields.names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in kept), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=schema.names)
 
     return docs.mapInArrow(run, schema)

@@ -8,7 +8,8 @@ the share of differing bits over the overlap decides.
 Defined results: null, empty or undecodable audio, and audio too short for one integer, has a null fingerprint and
 takes no part in alignment. Recordings with equal fingerprints are one class, named by its smallest id; copies are
 counted, not expanded into pairs. Ties between offsets go to the smaller absolute, then smaller, offset. An empty
-table gives no rows. Extra columns pass through fingerprints() and are ignored by align().
+table gives no rows. Extra columns pass through fingerprints(), but for one named like the result, and are ignored by
+align().
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from .shared import cut
 
@@ -123,11 +125,9 @@ def fingerprint(x: np.ndarray, rate: int) -> np.ndarray | None:
 
 def fingerprints(df: DataFrame, column: str, decode: Callable[[object], tuple[int, np.ndarray] | None] = decode_wav, out: str = "fingerprint") -> DataFrame:
     """df with array<int> fingerprints of a media column; decode gives (rate, samples) of a value, or None."""
-    fields = df.schema
-    if out in fields.names:
-        raise ValueError(f"the input already has a column {out}")
-    at = fields.names.index(column)
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [f"`{out}` array<int>"])
+    at = df.columns.index(column)
+    kept = [k for k, n in enumerate(df.columns) if n != out]
+    schema = StructType([*(df.schema[k] for k in kept), StructField(out, ArrayType(IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -135,7 +135,7 @@ def fingerprints(df: DataFrame, column: str, decode: Callable[[object], tuple[in
             for v in b.column(at):
                 sound = decode(v.as_py())
                 made.append(None if sound is None else fingerprint(sound[1], sound[0]))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.list_(pa.int32()))], names=[*fields.names, out])
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in kept), pa.array(made, pa.list_(pa.int32()))], names=schema.names)
 
     return df.mapInArrow(run, schema)
 

@@ -6,21 +6,24 @@ Queues are merged by finish time and cut at the total budget: a histogram over r
 range with the cut, and only that range is sorted.
 
 Defined results: a null text has size 0, and a document of size 0 takes nothing. A null source is a source of its
-own, last in order. An empty table gives an empty result. Repeated rows are documents of their own. A target never
-exceeds PASSES times its source's size. Columns other than doc_id, text and source are ignored.
+own, last in order. An empty table gives an empty result. Repeated rows are documents of their own; equal ones are
+dealt as often as all together are taken, evenly but for the remainder. A target never exceeds PASSES times its
+source's size. Columns other than doc_id, text and source are ignored, and pass through repeated().
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import BLANKS, buckets_for, cut
+from .shared import BLANKS, buckets_for, cut, free
 
 WEIGHTS = (5.0, 2.0, 1.0)
 PASSES = 3
 SEED = "mix-1"
+#: So many rows are sorted in one task to find the cut.
+MOST_SORTED = 100_000
 
 
 def size_of(text: Column) -> Column:
@@ -55,7 +58,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, passes: int
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, passes: int = PASSES, seed: str = SEED) -> DataFrame:
-    """doc_id, size, source_size, target, taken, finish for each document; see plan()."""
+    """doc_id, size, source_size, target, taken for each document; see plan()."""
     return plan(docs.select("doc_id", F.col("text"), F.col("source").cast("string").alias("source")), weights, passes, seed)
 
 
@@ -94,12 +97,12 @@ def plan(docs: DataFrame, weights: tuple[float, ...], passes: int, seed: str) ->
     if at is None:
         first_left = None
     else:
-        in_range = copies.where(F.col("_range") == at["_range"])
+        in_range, at = narrowed(copies, at, fine, budget)
         rank = Window.orderBy("_finish", "_pass", "_h", "doc_id", "size", "_x").rowsBetween(Window.unboundedPreceding, 0)
         last = in_range.withColumn("_upto", F.sum("size").over(rank) + F.lit(at["_upto"] - at["_size"])).where(F.col("_upto") > budget)
         first_left = last.orderBy("_finish", "_pass", "_h", "doc_id", "size", "_x").limit(1).first()
 
-    taken = F.lit(0).cast("long")
+    taken = F.lit(0).cast("long")  # of all passes
     for k in range(passes):
         f = finish(k)
         if first_left is None:
@@ -114,16 +117,51 @@ def plan(docs: DataFrame, weights: tuple[float, ...], passes: int, seed: str) ->
     return queued.select("doc_id", "size", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), taken.alias("taken"))
 
 
+def narrowed(copies: DataFrame, at: Row, fine: int, budget: int) -> tuple[DataFrame, dict]:
+    """The rows of the range at and its bar, cut down until few enough to be sorted in one task.
+
+    Each step splits what is left by the next part of the order (finish time to 2**-32 of a range, pass, hash) into
+    at most 65536 bars and keeps the one with the cut.
+    """
+    exact = F.col("_finish") * fine - F.col("_range")
+    steps = [F.floor(exact * 65536), F.floor(exact * 65536 * 65536), F.col("_pass"), *(F.shiftright("_h", n) for n in (44, 28, 12))]
+    rows, held = copies.where(F.col("_range") == at["_range"]), {"_upto": at["_upto"], "_size": at["_size"]}
+    for step in steps:
+        if rows.count() <= MOST_SORTED:
+            break
+        bars = rows.groupBy(step.cast("long").alias("_bar")).agg(F.sum("size").alias("_size"))
+        before = F.lit(held["_upto"] - held["_size"])
+        upto = F.sum("_size").over(Window.orderBy("_bar").rowsBetween(Window.unboundedPreceding, 0)) + before
+        hit = bars.withColumn("_upto", upto).where(F.col("_upto") > budget).orderBy("_bar").limit(1).first()
+        rows, held = rows.where(step.cast("long") == hit["_bar"]), {"_upto": hit["_upto"], "_size": hit["_size"]}
+    return rows, held
+
+
 def repeated(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, passes: int = PASSES, seed: str = SEED) -> DataFrame:
     """docs with each row as often as the mix takes it; rows without words, which no weight concerns, stay once."""
-    times = (F.col("taken") / F.col("size")).cast("int")
-    # Rows that repeat id and size are told apart by nothing; they are taken alike, as often as the most taken one.
-    taken = mix(docs, weights, passes, seed).where("size > 0").groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_size")).agg(F.max(times).alias("_most"))
-    sized = docs.withColumn("_words", size_of(F.col("text")))
-    # A hash join keeps the texts unsorted.
-    joined = sized.join(taken.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size")), "left")
-    times = F.when(F.col("_words") > 0, F.coalesce("_most", F.lit(1))).otherwise(1)
-    return joined.withColumn("_copy", F.explode(F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>")))).select(*docs.columns)
+    mine, words, most, extra, rows, copy, nth = (free(n, docs.columns) for n in ("_id", "_words", "_most", "_extra", "_rows", "_copy", "_nth"))
+    times = (F.col("taken") / F.col("size")).cast("long")
+    # Rows that repeat id and size are told apart by nothing: all are taken as often as the sum allows, some once more.
+    alike = mix(docs, weights, passes, seed).where("size > 0").groupBy(F.col("doc_id").alias(mine), F.col("size").alias("_" + words)).agg(F.sum(times).alias("_t"), F.count(F.lit(1)).alias(rows))
+    taken = cut(alike.select(mine, "_" + words, rows, F.expr(f"_t div `{rows}`").alias(most), F.expr(f"_t % `{rows}`").alias(extra)))
+    sized = docs.withColumn(words, size_of(F.col("text")))
+    meet = F.col("doc_id").eqNullSafe(F.col(mine)) & (F.col(words) == F.col("_" + words))
+    kept = [f"`{c}`" for c in docs.columns]
+
+    def dealt(joined: DataFrame, times: Column) -> DataFrame:
+        return joined.withColumn(copy, F.explode(F.when(times > 0, F.sequence(F.lit(1).cast("long"), times)).otherwise(F.array().cast("array<long>")))).select(*kept)
+
+    # A hash join keeps the texts unsorted. Only rows that repeat and cannot be taken alike are numbered.
+    even = sized.join(taken.where(f"`{extra}` = 0").hint("shuffle_hash"), meet, "left")
+    uneven = taken.where(f"`{extra}` > 0 AND `{rows}` = 1").limit(1).count(), taken.where(f"`{extra}` > 0").limit(1).count()
+    assert not uneven[0]  # one row has no remainder
+    if not uneven[1]:
+        return dealt(even, F.when(F.col(words) > 0, F.coalesce(most, F.lit(1).cast("long"))).otherwise(F.lit(1).cast("long")))
+    odd = taken.where(f"`{extra}` > 0").hint("shuffle_hash")
+    plain = sized.join(odd.select(mine, "_" + words), meet, "left_anti").join(taken.where(f"`{extra}` = 0").hint("shuffle_hash"), meet, "left")
+    first = dealt(plain, F.when(F.col(words) > 0, F.coalesce(most, F.lit(1).cast("long"))).otherwise(F.lit(1).cast("long")))
+    numbered = sized.join(odd, meet).withColumn(nth, F.row_number().over(Window.partitionBy("doc_id", words).orderBy("source", F.xxhash64("text"))))
+    return first.unionByName(dealt(numbered, F.col(most) + (F.col(nth) <= F.col(extra)).cast("long")))
 
 
 ORACLE_SQL = f"""

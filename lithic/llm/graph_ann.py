@@ -29,7 +29,7 @@ SHARD = 4096
 DEGREE = 32
 BEAM = 64
 ALPHA = 1.2
-QUERY_BLOCK = 512
+QUERY_BLOCK = 8192
 
 
 def usable(v: Column) -> Column:
@@ -58,6 +58,13 @@ class Graph:
             self.insert(fresh, order[:done] if done < 64 else None)
             done += len(fresh)
 
+    @classmethod
+    def stored(cls, x: np.ndarray, edges: np.ndarray, start: int) -> Graph:
+        """A graph that was built before."""
+        g = cls.__new__(cls)
+        g.x, g.start, g.edges = np.ascontiguousarray(x, np.float32), start, edges.reshape(len(x), -1)
+        return g
+
     def insert(self, fresh: np.ndarray, all_of: np.ndarray | None) -> None:
         if all_of is not None:  # the first few see each other
             pool = np.concatenate([all_of, fresh])
@@ -144,7 +151,8 @@ def matrix(column: pd.Series) -> np.ndarray:
 def search(items: DataFrame, queries: DataFrame, k: int = 10, beam: int = BEAM, shard: int = SHARD) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest. items and queries: id, v (array<double>), usable rows only.
 
-    A shard's graph is built once in one task from at most about `shard` nodes, and is searched for the queries in blocks.
+    A shard's graph is built once in one task from at most about `shard` nodes and stored; a task searches one shard for
+    one block of at most about QUERY_BLOCK queries.
     """
     spark = items.sparkSession
     # One node for each distinct vector and dimension; its k + 1 smallest ids stand for all of them.
@@ -159,25 +167,37 @@ def search(items: DataFrame, queries: DataFrame, k: int = 10, beam: int = BEAM,
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     shards = max(1, -(-total // shard))
     dealt = nodes.withColumn("shard", F.pmod(F.hash("node", F.lit(7)), F.lit(shards)))
+
+    def build(rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for dim, own in rows.groupby(rows["v"].map(len)):
+            own = own.sort_values("node")
+            x = matrix(own["v"])
+            g = Graph(x) if len(own) > beam else None
+            out.append((rows["shard"].iloc[0], dim, own["node"].to_numpy(np.int64).tobytes(), x.tobytes(), g.edges.tobytes() if g else None, g.start if g else 0))
+        return pd.DataFrame(out, columns=["shard", "dim", "nodes", "x", "edges", "start"])
+
+    graphs = cut(dealt.select("shard", "node", "v").groupBy("shard").applyInPandas(build, "shard int, dim int, nodes binary, x binary, edges binary, start int"))
     # Each block of queries meets each shard: a stated query set against all rows, in blocks.
     blocks = max(1, -(-n_queries // QUERY_BLOCK))
     ask = asked.withColumn("block", F.pmod(F.hash("id", F.lit(9)), F.lit(blocks)))
-    every = ask.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).select("shard", F.col("id").alias("query_id"), F.col("v").alias("qv"))
+    every = ask.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).select("shard", "block", F.col("id").alias("query_id"), F.col("v").alias("qv"))
+    offered = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     wanted = 2 * k + 2
 
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         for dim, qs in right.groupby(right["qv"].map(len)):
-            own = left[left["v"].map(len) == dim]
-            if not len(own):
+            stored = left[left["dim"] == dim]
+            if not len(stored):
                 continue
-            own = own.sort_values("node")
-            x = matrix(own["v"])
+            row = stored.iloc[0]
+            nodes, x = np.frombuffer(row["nodes"], np.int64), np.frombuffer(row["x"], np.float64).reshape(-1, dim)
             q = matrix(qs["qv"])
-            if len(own) <= beam:
-                found = np.broadcast_to(np.arange(len(own)), (len(q), len(own)))
+            if row["edges"] is None:
+                found = np.broadcast_to(np.arange(len(x)), (len(q), len(x)))
             else:
-                found = Graph(x).search(q, max(beam, wanted))[0]
+                found = Graph.stored(x, np.frombuffer(row["edges"], np.int32), int(row["start"])).search(q, max(beam, wanted))[0]
             for i in range(0, len(q), 256):
                 ids = found[i : i + 256]
                 d = np.sqrt(((x[np.maximum(ids, 0)] - q[i : i + 256][:, None]) ** 2).sum(axis=-1))
@@ -186,10 +206,10 @@ def search(items: DataFrame, queries: DataFrame, k: int = 10, beam: int = BEAM,
                 r = np.repeat(np.arange(len(ids)), best.shape[1])
                 c = best.ravel()
                 ok = np.isfinite(d[r, c])
-                out.append(pd.DataFrame({"query_id": qs["query_id"].to_numpy()[i + r[ok]], "node": own["node"].to_numpy()[ids[r[ok], c[ok]]]}))
+                out.append(pd.DataFrame({"query_id": qs["query_id"].to_numpy()[i + r[ok]], "node": nodes[ids[r[ok], c[ok]]]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": np.zeros(0, np.int64), "node": np.zeros(0, np.int64)})
 
-    near = dealt.select("shard", "node", "v").groupBy("shard").cogroup(every.groupBy("shard")).applyInPandas(run, "query_id long, node long")
+    near = offered.groupBy("shard", "block").cogroup(every.groupBy("shard", "block")).applyInPandas(run, "query_id long, node long")
     # The exact check: distances again in the JVM, on the original vectors, by one formula for all.
     scored = near.join(kept, "node").join(asked.select(F.col("id").alias("query_id"), F.col("v").alias("qv")), "query_id")
     square = F.aggregate(F.zip_with("v", "qv", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)

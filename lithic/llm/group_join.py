@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
-from .shared import cut, drop
+from .shared import cut, drop, free
 
 U = np.uint64
 ODD = [U(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
@@ -386,14 +386,15 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc
     id may have to go (by a bitmap of fixed size, which errs to one side) are shuffled, the others pass straight through.
     Of an id with several texts only the rows go whose own set is a near copy: rows are told by id and digest.
     """
-    found = cut(labelled(docs, width, percent, key, text).withColumnRenamed("id", "_id"))
-    gone = found.where("_id IS NOT NULL AND _id <> component_id").select("_id", F.col("d").alias("_d")).distinct()
-    repeated = found.where("_id IS NOT NULL").groupBy("_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_id")
+    found = cut(labelled(docs, width, percent, key, text))
+    mine, of = free("_id", docs.columns), free("_digest", docs.columns)
+    gone = found.where("id IS NOT NULL AND id <> component_id").select(F.col("id").alias(mine), F.col("d").alias("_" + of)).distinct()
+    repeated = found.where("id IS NOT NULL").groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")
     gone = cut(gone)
-    bits = docs.sparkSession.sparkContext.broadcast(bitmap(gone.select("_id").union(repeated), "_id", bits_for(found.count())))
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(gone.select(F.col(mine).alias("id")).union(repeated), "id", bits_for(found.count())))
     columns = docs.columns
     at, where = columns.index(key), columns.index(text)
-    with_digest = StructType([*docs.schema.fields, StructField("_digest", LongType())])
+    with_digest = StructType([*docs.schema.fields, StructField(of, LongType())])
 
     def split(wanted: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -403,11 +404,11 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc
                 b = b.filter(pa.array(on == wanted))
                 if wanted:
                     d = np.array([digest(shingle_set(t.as_py(), width)) for t in b.column(where)], np.uint64).view(np.int64)
-                    b = pa.RecordBatch.from_arrays([*b.columns, pa.array(d)], names=[*columns, "_digest"])
+                    b = pa.RecordBatch.from_arrays([*b.columns, pa.array(d)], names=[*columns, of])
                 yield b
 
         return docs.mapInArrow(run, with_digest if wanted else docs.schema)
 
-    same = (F.col(key) == F.col("_id")) & (F.col("_digest") == F.col("_d"))
-    checked = split(True).join(gone, same, "left_anti").dropDuplicates([key, text]).drop("_digest")
+    same = (F.col(key) == F.col(mine)) & (F.col(of) == F.col("_" + of))
+    checked = split(True).join(gone, same, "left_anti").dropDuplicates([key, text]).drop(of)
     return split(False).unionByName(checked)

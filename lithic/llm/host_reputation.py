@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import cut
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host, path); a rule fits its host and all subdomains, from the start of the path.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
@@ -70,9 +72,13 @@ def prior_strength(members: DataFrame) -> float:
 def reputations(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
     """One row a host: pages, n labelled, bad, posterior mean and sd. pages(page_id, host), outcomes(page_id, bad 0/1)."""
     marks = outcomes.where(F.col("bad").isNotNull() & F.col("page_id").isNotNull()).groupBy(F.col("page_id").alias("_id")).agg(F.max("bad").cast("long").alias("_bad"))
-    by_host = pages.join(marks, F.col("page_id") == F.col("_id"), "left").groupBy("host").agg(F.count(F.lit(1)).alias("pages"), F.count("_bad").alias("n"), F.coalesce(F.sum("_bad"), F.lit(0)).alias("bad"))
+    # Only pages with an id can have an outcome; the others are counted without the join.
+    counted = pages.where("page_id IS NOT NULL").join(marks, F.col("page_id") == F.col("_id"), "left").select("host", "_bad")
+    counted = counted.unionByName(pages.where("page_id IS NULL").select("host", F.lit(None).cast("long").alias("_bad")))
+    by_host = counted.groupBy("host").agg(F.count(F.lit(1)).alias("pages"), F.count("_bad").alias("n"), F.coalesce(F.sum("_bad"), F.lit(0)).alias("bad"))
     domain, suffix = registered(F.col("host"))
-    hosts = by_host.withColumn("domain", domain).withColumn("suffix", suffix)
+    # Written once: each level's strength, the total and the result read this table of hosts, not the pages.
+    hosts = cut(by_host.withColumn("domain", domain).withColumn("suffix", suffix))
     total = hosts.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
     mean = (total["bad"] or 0) / total["n"] if total["n"] else 0.0
     level = hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).withColumn("prior", F.lit(mean))

@@ -5,7 +5,7 @@ items get markers and hanging indents, table cells are padded to the width of th
 
 Defined results: null html gives a null text, empty html or html without visible text gives ''. Elements nested
 deeper than MAX_DEPTH become siblings at that depth, as browsers do, so no text is lost. Repeated rows get equal
-texts. Extra columns pass through.
+texts. Extra columns pass through; one that has the result's name gives way to it.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StringType, StructField, StructType
 
 MAX_DEPTH = 200
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>?", re.S)
@@ -42,8 +43,8 @@ IMPLIED_END = {
     "option": (("option",), ("select", "datalist")), "optgroup": (("optgroup", "option"), ("select", "datalist")),
     "tr": (("tr", "caption", "colgroup"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")),
     "thead": (("thead", "tbody", "tfoot", "caption", "colgroup"), ("table",)), "tbody": (("thead", "tbody", "tfoot", "caption", "colgroup"), ("table",)), "tfoot": (("thead", "tbody", "tfoot", "caption", "colgroup"), ("table",)),
-    "h1": (("h1", "h2", "h3", "h4", "h5", "h6"), ("div", "section", "article", "td", "th", "li", "table")),
 }
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 
 
 class Node:
@@ -116,6 +117,8 @@ def build(html: str) -> Node:
             close(("p",), ("td", "th", "table", "button", "li", "object"))
         if tag in IMPLIED_END:
             close(*IMPLIED_END[tag])
+        if tag in HEADINGS and stack[-1].tag in HEADINGS:
+            stack.pop()
         if tag in ("tr", "td", "th"):
             if tag != "tr" and stack[-1].tag in ("table", "thead", "tbody", "tfoot"):
                 row = Node("tr", {})
@@ -238,9 +241,16 @@ def table_lines(table: Node) -> list[str]:
     widths: dict[int, int] = {}
     for row in rows:
         for col, wide, lines in row:
-            widths.setdefault(col, 0)
+            for c in range(col, col + wide):
+                widths.setdefault(c, 0)
             if wide == 1:
                 widths[col] = max(widths[col], *(len(x) for x in lines), 0) if lines else widths[col]
+    # What a spanning cell needs beyond its columns and their gaps goes to its last column.
+    for row in rows:
+        for col, wide, lines in row:
+            if wide > 1 and lines:
+                held = sum(widths[c] + 2 for c in range(col, col + wide)) - 2
+                widths[col + wide - 1] += max(0, max(map(len, lines)) - held)
     starts, x = {}, 0
     for col in sorted(widths):
         starts[col] = x
@@ -353,14 +363,12 @@ def text_of(html: str | None) -> str | None:
 
 def extract(pages: DataFrame, html: str = "html", out: str = "text") -> DataFrame:
     """pages with the rendered text in column out; narrow, one page at a time."""
-    fields = pages.schema
-    if out in fields.names:
-        raise ValueError(f"the input already has a column {out}")
-    at = fields.names.index(html)
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [f"`{out}` string"])
+    at = pages.columns.index(html)
+    kept = [k for k, n in enumerate(pages.columns) if n != out]
+    schema = StructType([*(pages.schema[k] for k in kept), StructField(out, StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([text_of(h.as_py()) for h in b.column(at)], pa.string())], names=[*fields.names, out])
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in kept), pa.array([text_of(h.as_py()) for h in b.column(at)], pa.string())], names=schema.names)
 
     return pages.mapInArrow(run, schema)

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import pickle
-import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,12 +15,11 @@ BLANKS = "[\\x20\\x09-\\x0D]+"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a local one only where that is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="lithic-scratch-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    """The shared folder named in spark.checkpoint.dir.
+
+    Where that is unset, a folder beside the session's warehouse, which executors share as well.
+    """
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-scratch"
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -61,9 +59,17 @@ def drop(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def free(name: str, taken: Iterable[str]) -> str:
+    """name, with as many underscores before it as no column of the input has."""
+    taken = {t.lower() for t in taken}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def buckets_for(rows: int, per_bucket: int = 200_000) -> int:
     """How many parts one key's rows are dealt to, so that a part stays near per_bucket rows at any size."""
-    n = 8
+    n = 256
     while n * per_bucket < rows:
         n *= 2
     return n

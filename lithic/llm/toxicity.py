@@ -2,11 +2,12 @@
 
 P(grade <= k) = sigmoid(theta_k - x.w): one weight vector is shared by all ordered thresholds. Features are
 words and character n-grams of words that are associated with the label; x is log(1 + number of tokens with
-the feature). Fitting uses a bounded sample of labelled rows (max_rows, ordered by a hash of the id); scoring
+the feature). The labels are binary: the severity of a labelled toxic row is the third of the toxic rows in which its
+odds fall by a model that was fitted, features included, without the row's fold. Fitting uses a bounded sample of labelled rows (max_rows, ordered by a hash of the id); scoring
 reads every whole text of every row.
 
 Defined results: a null or empty text, and any text without a selected feature, gets the severity of x = 0.
-Repeated rows get equal scores. Extra columns pass through. Without labelled rows, or with one grade only,
+Repeated rows get equal scores. Extra columns pass through, but for those named like a result. Without labelled rows, or with one grade only,
 there are no features and every severity is that of the empty text (0 if no row is toxic). Null labels are
 skipped; of several labels for one id the largest counts.
 """
@@ -22,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from .shared import fitted
 
@@ -173,9 +175,36 @@ def fit_ordinal(x: tuple[np.ndarray, np.ndarray, np.ndarray], grades: np.ndarray
     return w, theta
 
 
-def grade_of(toxic: np.ndarray, hits: np.ndarray) -> np.ndarray:
-    """0 for rows not labelled toxic; toxic rows get 1, 2 or 3 by the number of label-associated tokens (below 3, below 8, more)."""
-    return np.where(toxic == 0, 0, 1 + (hits >= 3) + (hits >= 8)).astype(int)
+def matrix_of(texts: list[str | None], features: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, feature, value) of the sparse matrix of texts."""
+    scorer, r, c, v = Scorer(features), [], [], []
+    for i, t in enumerate(texts):
+        for f, k in scorer.counts(t).items():
+            r.append(i)
+            c.append(f)
+            v.append(np.log1p(k))
+    return np.array(r, int), np.array(c, int), np.array(v, float)
+
+
+def held_out_odds(texts: list[str | None], toxic: np.ndarray, folds: int = 2) -> np.ndarray:
+    """Each row's log odds of the label by a binary model with features of its own, which has not seen the row's fold."""
+    odds, fold = np.zeros(len(texts)), np.arange(len(texts)) % folds
+    for k in range(folds):
+        seen, unseen = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
+        known = [texts[i] for i in seen]
+        if features := select_features(known, toxic[seen]):
+            w, theta = fit_ordinal(matrix_of(known, features), toxic[seen], len(features), 2, rounds=300)
+            r, c, v = matrix_of([texts[i] for i in unseen], features)
+            odds[unseen] = np.bincount(r, weights=v * w[c], minlength=len(unseen)) - theta[0]
+    return odds
+
+
+def grade_of(toxic: np.ndarray, odds: np.ndarray) -> np.ndarray:
+    """0 for rows not labelled toxic; toxic rows get 1, 2 or 3 by thirds of their held-out odds (ties in the lower)."""
+    if not toxic.any():
+        return np.zeros(len(toxic), int)
+    low, high = np.quantile(odds[toxic > 0], [1 / 3, 2 / 3])
+    return np.where(toxic == 0, 0, 1 + (odds > low) + (odds > high)).astype(int)
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, text: str = "text", key: str = "doc_id") -> OrdinalModel:
@@ -188,28 +217,25 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, text: str
 
 def fit_rows(texts: list[str | None], toxic: np.ndarray) -> OrdinalModel:
     features = select_features(texts, toxic) if len(texts) else {}
-    scorer, r, c, v, hits = Scorer(features), [], [], [], np.zeros(len(texts))
-    for i, t in enumerate(texts):
-        found = scorer.counts(t)
-        hits[i] = max(found.values(), default=0) if found else 0
-        for f, k in found.items():
-            r.append(i)
-            c.append(f)
-            v.append(np.log1p(k))
     if not features:
         return OrdinalModel({}, np.zeros(0), np.array([40.0, 40.0, 40.0]) if not toxic.any() else np.array([np.log((1 - toxic.mean() + 1e-9) / (toxic.mean() + 1e-9)), 40.0, 40.0]))
-    w, theta = fit_ordinal((np.array(r), np.array(c), np.array(v)), grade_of(toxic, hits), len(features), 4)
+    w, theta = fit_ordinal(matrix_of(texts, features), grade_of(toxic, held_out_odds(texts, toxic)), len(features), 4)
     kept = [f for f in features if w[features[f]] != 0]
     return OrdinalModel({f: i for i, f in enumerate(kept)}, np.array([w[features[f]] for f in kept]), theta)
 
 
-def score(docs: DataFrame, model: OrdinalModel, text: str = "text") -> DataFrame:
-    """docs with severity (expected grade), grade (most probable) and severity_probs; narrow, no shuffle."""
-    fields = docs.schema
-    for name, kind in (("severity", "double"), ("grade", "int"), ("severity_probs", "array<double>")):
-        if name in fields.names:
-            raise ValueError(f"the input already has a column {name}")
-    out = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["severity double", "grade int", "severity_probs array<double>"])
+OUT = ("severity", "grade", "severity_probs")
+
+
+def score(docs: DataFrame, model: OrdinalModel, text: str = "text", out: tuple[str, str, str] = OUT) -> DataFrame:
+    """docs with severity (expected grade), grade (most probable) and severity_probs, under the names out; narrow.
+
+    A column of the input that has one of these names gives way to the result: callers that keep it choose others.
+    """
+    fields = StructType([f for f in docs.schema if f.name not in out or f.name == text])
+    docs = docs.select(*[f"`{n}`" for n in fields.names])
+    kinds = StructType.fromDDL("severity double, grade int, severity_probs array<double>")
+    schema = StructType([*fields, *(StructField(n, f.dataType) for n, f in zip(out, kinds, strict=True))])
     at = fields.names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,7 +247,7 @@ def score(docs: DataFrame, model: OrdinalModel, text: str = "text") -> DataFrame
             p = model.probabilities(eta)
             yield pa.RecordBatch.from_arrays(
                 [*b.columns, pa.array(p @ np.arange(p.shape[1])), pa.array(p.argmax(axis=1).astype("int32")), pa.array(list(p))],
-                names=[*fields.names, "severity", "grade", "severity_probs"],
+                names=schema.names,
             )
 
-    return docs.mapInArrow(run, out)
+    return docs.mapInArrow(run, schema)

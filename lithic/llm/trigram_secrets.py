@@ -5,9 +5,12 @@ case) of which every match must contain one set whole. Postings (trigram, docume
 occur in some query; intersecting them gives each rule's candidate documents, which the expression then verifies.
 A rule from which no mandatory trigram follows scans every text. Positions are code points, ends exclusive.
 
+Candidates are fetched by id: up to FEW of them are sent to where the texts are, which then stay in place; beyond,
+texts and candidates are shuffled by id.
+
 Defined results: a null text is empty and has no spans. Rows with a null id are candidates of every rule; of rows
 that share an id all are verified if one is a candidate. Repeated rows get equal spans. Ties in start follow the
-order of the rules. Extra columns pass through (names starting with an underscore and two letters 'sx' are taken).
+order of the rules. Extra columns pass through, whatever their names; scan() replaces one named like its result.
 """
 
 from __future__ import annotations
@@ -20,6 +23,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import cut, free
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -47,6 +52,8 @@ MORE = (
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
 )
 RULES = BASE + MORE
+#: So many candidates (id and mask, 24 bytes each) are broadcast.
+FEW = 1_000_000
 #: Classes of up to so many characters, and so many strings, are enumerated in deriving a query.
 MOST_CLASS, MOST_STRINGS = 8, 64
 Query = frozenset[frozenset[str]]
@@ -167,22 +174,29 @@ def spans(text: Column, rule: Rule, kind: int) -> Column:
     return F.aggregate(zipped, start, step, lambda acc: acc["out"])
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with secrets: array<struct<start, kind (number of the rule), end>>, sorted."""
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text", out: str = "secrets") -> DataFrame:
+    """docs with the column out: array<struct<start, kind (number of the rule), end>>, sorted."""
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     body = F.coalesce(F.col(text), F.lit(""))
-    found = candidates(docs, rules, key, text)
+    found = candidates(docs.select(F.col(key).alias("_sxkey"), F.col(text).alias("_sxtext")), rules, "_sxkey", "_sxtext")
     full = [trigram_query(r.pattern) == ANY for r in rules]
+    own, met, salt = (free(n, docs.columns) for n in ("_sxmask", "_sxid", "_sxsalt"))
     if found is None:
-        joined = docs.withColumn("_sxmask", F.lit(0).cast("long"))
+        joined = docs.withColumn(own, F.lit(0).cast("long"))
     else:
-        joined = docs.join(found.hint("shuffle_hash"), F.col(key) == F.col("_sxid"), "left").drop("_sxid")
-    mask = F.when(F.col(key).isNull(), F.lit((1 << len(rules)) - 1)).otherwise(F.coalesce("_sxmask", F.lit(0)))
+        found = cut(found)
+        small = found.count() <= FEW
+        found = found.select(F.col("_sxid").alias(met), F.col("_sxmask").alias(own), F.lit(0).cast("long").alias(salt + "0"))
+        # Rows without an id meet no candidate; a salt spreads them over the shuffled join.
+        salted = docs.withColumn(salt, F.when(F.col(key).isNull(), F.xxhash64(text)).otherwise(F.lit(0)))
+        both = (F.col(key) == F.col(met)) & (F.col(salt) == F.col(salt + "0"))
+        joined = salted.join(F.broadcast(found) if small else found.hint("shuffle_hash"), both, "left").drop(met, salt, salt + "0")
+    mask = F.when(F.col(key).isNull(), F.lit((1 << len(rules)) - 1)).otherwise(F.coalesce(own, F.lit(0)))
     each = []
     for k, rule in enumerate(rules):
         tried = body.rlike(rule.pattern) if full[k] else mask.bitwiseAND(1 << k) != 0
         each.append(F.when(tried, spans(body, rule, k)).otherwise(none))
-    return joined.withColumn("secrets", F.array_sort(F.concat(*each))).drop("_sxmask")
+    return joined.withColumn(out, F.array_sort(F.concat(*each))).drop(own)
 
 
 def written(secrets: Column, rules: tuple[Rule, ...]) -> Column:
@@ -202,7 +216,8 @@ def digest(scanned: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with every secret's span replaced by [SECRET]; overlapping spans are one. Columns stay as they are."""
-    scanned = scan(docs, rules, key, text)
+    held = free("secrets", docs.columns)
+    scanned = scan(docs, rules, key, text, held)
     body = F.col(text)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -212,8 +227,8 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id"
         inside = F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))
         return F.when((s["start"] < acc["at"]) & (acc["at"] > 0), inside).otherwise(fresh)
 
-    clean = F.aggregate("secrets", start, step, lambda acc: F.concat(acc["out"], F.substring(body, acc["at"] + 1, F.length(body))))
-    return scanned.withColumn(text, F.when(F.size("secrets") > 0, clean).otherwise(body)).select(*docs.columns)
+    clean = F.aggregate(held, start, step, lambda acc: F.concat(acc["out"], F.substring(body, acc["at"] + 1, F.length(body))))
+    return scanned.withColumn(text, F.when(F.size(held) > 0, clean).otherwise(body)).select(*[f"`{c}`" for c in docs.columns])
 
 
 def oracle_sql(rules: tuple[Rule, ...] = RULES) -> str:

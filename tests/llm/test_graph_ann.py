@@ -31,3 +31,21 @@ def test_odd_vectors_and_few_rows(spark):
     got = sorted(tuple(r) for r in graph_ann.nearest(spark.createDataFrame(rows, SCHEMA)).collect())
     assert got == [(0, 1, 100, 0.0), (0, 2, 6, 1.0), (100, 1, 0, 0.0), (100, 2, 6, 1.0)]
     assert graph_ann.nearest(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_recall_of_production_shards_and_blocks(spark, monkeypatch):
+    """Several shards of the production size, and queries in several blocks."""
+    monkeypatch.setattr(graph_ann, "QUERY_BLOCK", 40)
+    r = np.random.default_rng(2)
+    n = 2 * graph_ann.SHARD + 500
+    centres = r.normal(size=(40, 32)) * 2
+    x = (centres[r.integers(0, 40, n)] + r.normal(size=(n, 32))).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]], "x") for i in range(n)], SCHEMA)
+    got = graph_ann.nearest(df).collect()
+    y, hit = x.astype(float), 0
+    queries = range(0, n, 100)
+    for q in queries:
+        d = ((y - y[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        hit += len({g.vec_id for g in got if g.query_id == q} & set(np.argsort(d, kind="stable")[:10].tolist()))
+    assert len(got) == 10 * len(queries) and hit >= 0.9 * len(got)

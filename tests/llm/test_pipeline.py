@@ -2,7 +2,6 @@ import itertools
 import random
 
 import corpus_pipeline
-from lithic.llm import toxicity, trigram_secrets
 from tests.llm.test_group_join import shingles
 
 
@@ -71,7 +70,3 @@ def test_empty_documents(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, str(tmp_path))
         assert docs.collect() == []
-
-
-def test_guard_names():
-    assert toxicity.GRAMS and trigram_secrets.RULES[0].kind == "assign"

@@ -5,7 +5,6 @@ import zlib
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from lithic.llm import byte_gru, config_packing, fair_mix, host_reputation, html_layout, toxicity, trigram_secrets
 
@@ -325,7 +324,3 @@ def test_linear_program_covers_all_demand():
         _, n = config_packing.plan(lengths, counts)
         least = max(-(-int((lengths * counts).sum()) // 1024), int(counts[lengths > 512].sum()))
         assert least <= n <= least * 1.03 + 2
-
-
-def test_spread_of_crc(spark):
-    assert spark.range(1).select(F.crc32(F.lit("7"))).first()[0] == zlib.crc32(b"7")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections import defaultdict
 
@@ -12,12 +11,8 @@ from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a local one of our own only where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="lithic-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    """The shared folder of spark.checkpoint.dir; where it is unset, one beside the session's warehouse."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-scratch"
 
 
 def settle(df: DataFrame) -> DataFrame:

@@ -15,6 +15,25 @@ RESERVED_WORDS = (
     "of", "true", "false", "null", "undefined", "NaN", "Infinity", "async", "await", "yield", "import", "export", "from", "as", "with",
     "debugger", "enum", "implements", "interface", "package", "private", "protected", "public", "static",
 )
+#: Words that cannot be identifiers.
+JS_RESERVED = (
+    "break", "case", "catch", "continue", "debugger", "default", "delete", "do", "else", "finally", "for", "function", "if", "in", "instanceof",
+    "new", "return", "switch", "this", "throw", "try", "typeof", "var", "void", "while", "with", "class", "const", "enum", "export", "extends",
+    "import", "super", "implements", "interface", "let", "package", "private", "protected", "public", "static", "yield", "null", "true", "false",
+    "undefined", "NaN", "Infinity", "arguments", "eval",
+)
+#: What no module is named after: prefixes and whole names.
+MODULE_PREFIXES = (
+    "tmp", "closure_", "fnResult", "arg", "module_", "_interopRequire", "_interopDefault", "_interopNamespace", "_module", "_exports", "_require",
+    "_global", "_dependencyMap", "_importDefault", "_importAll",
+)
+MODULE_NAMES = (
+    "default", "_default", "undefined", "null", "true", "false", "item", "self", "key", "value", "merged", "exports", "wrapper", "require",
+    "anonymous", "global", "__esModule", "module", "dependencyMap", "__INTERNAL_VIEW_CONFIG", "_module", "_exports", "_require", "_global",
+    "_dependencyMap", "importDefault", "importAll", "_importDefault", "_importAll", "Object", "Object2", "Object3", "Array", "Array2", "Array3",
+    "num", "str", "val", "res", "items", "keys", "values", "entries", "result", "results", "prototype", "call", "apply", "toString", "arr", "obj",
+    "fn", "clear", "store", "callback", "set",
+)
 CALLBACK_ROLES = ("item", "index", "acc", "a", "b", "result", "match_", "offset")
 ACTION_VERBS = (
     "get", "set", "is", "has", "use", "add", "on", "create", "make", "fetch", "load", "save", "read", "write", "parse", "format", "handle",
@@ -26,7 +45,7 @@ AGENT_NOUNS = {"encode": "encoder", "decode": "decoder", "serialize": "serialize
 
 
 def is_reserved(name: Column) -> Column:
-    return name.isin(*RESERVED_WORDS)
+    return name.isin(*JS_RESERVED)
 
 
 def is_valid_identifier(name: Column) -> Column:
@@ -44,7 +63,7 @@ def is_callback_role(name: Column) -> Column:
     return name.isin(*CALLBACK_ROLES)
 
 
-def names_an_action(name: Column) -> Column:
+def begins_with_verb(name: Column) -> Column:
     return name.rlike(rf"^({'|'.join(ACTION_VERBS)})[A-Z]")
 
 
@@ -53,8 +72,10 @@ def is_role_with_digits(name: Column) -> Column:
 
 
 def is_generic_module(name: Column) -> Column:
-    """Not one token, a numbered role, a decompiler's result, or the id fallback."""
-    return name.rlike(r"\s") | is_role_with_digits(name) | name.rlike("Result[0-9]*$") | name.rlike("^module_[0-9]+$")
+    """Not one token, a common word, role or prefix of generated names, or a result's name; a number at the end does not matter."""
+    bare = F.regexp_replace(name, "[0-9]+$", "")
+    listed = name.isin(*MODULE_NAMES) | bare.isin(*MODULE_NAMES)
+    return name.rlike(r"\s") | listed | name.rlike(f"^({'|'.join(MODULE_PREFIXES)})") | is_role_with_digits(name) | bare.endswith("Result")
 
 
 def semantic_identifier(prop: Column) -> Column:
@@ -70,6 +91,23 @@ def sanitized_identifier(name: Column) -> Column:
     return F.when((clean == "") | clean.rlike(r"^[0-9]") | is_reserved(clean), F.concat(F.lit("_"), clean)).otherwise(clean)
 
 
+def import_name(module: Column) -> Column:
+    """The last part of a module path in camel case; null if too short or reserved."""
+    last = F.regexp_extract(module, "[^/]*$", 0)
+    words = F.filter(F.split(F.regexp_replace(last, r"[^A-Za-z0-9_$\-. ]", ""), r"[\-. ]+"), lambda w: w != "")
+    joined = F.array_join(F.transform(words, lambda w, k: F.when(k == 0, w).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1_000_000)))), "")
+    clean = F.when(joined.rlike("^[0-9]"), F.concat(F.lit("_"), joined)).otherwise(joined)
+    return F.when((F.length(clean) > 1) & ~is_reserved(clean), clean)
+
+
+def constant_name(shown: Column) -> Column:
+    """The identifier that a constant's text is, without its quotes; null for other texts, long ones and common globals."""
+    # Names that say nothing about a constant.
+    common = ("undefined", "null", "true", "false", "default", "exports", "module", "require", "global", "Object", "Array", "Function", "String", "Number", "Boolean", "Symbol", "Error", "Math", "JSON", "console", "window", "document", "this")
+    bare = F.regexp_replace(F.regexp_replace(F.trim(shown), '^"+|"+$', ""), "^'+|'+$", "")
+    return F.when(bare.rlike("^[A-Za-z_$][A-Za-z0-9_$]*$") & (F.length(bare) <= 40) & ~bare.isin(*common), bare)
+
+
 def agent_noun(method: Column) -> Column:
     pairs = [F.lit(x) for kv in AGENT_NOUNS.items() for x in kv]
     return F.element_at(F.create_map(*pairs), method)

@@ -96,8 +96,9 @@ def replace_whole_word(c: Column, word: str, by: str) -> Column:
 
 
 def human_size(n: Column) -> Column:
-    kb, mb = F.format_number(n / 1024, 1), F.format_number(n / (1024 * 1024), 1)
-    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1024 * 1024, F.concat(kb, F.lit(" KB"))).otherwise(F.concat(mb, F.lit(" MB")))
+    """Bytes, or KB and MB to one decimal, halves to the even one, without separators."""
+    shown = lambda unit, name: F.format_string(f"%.1f {name}", F.bround(n / unit, 1))
+    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1024 * 1024, shown(1024, "KB")).otherwise(shown(1024 * 1024, "MB"))
 
 
 def escape_js(c: Column) -> Column:

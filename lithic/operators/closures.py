@@ -155,7 +155,7 @@ def levels(deps: DataFrame, modules: DataFrame) -> DataFrame:
 
 def name_from_single_export(exports: DataFrame) -> DataFrame:
     """Modules with exactly one export that says something name themselves by it."""
-    says = exports.where(~F.col("export_name").isin("default", "__esModule") & ~N.is_generic_module(F.col("export_name")) & ~N.names_an_action(F.col("export_name")))
+    says = exports.where(~F.col("export_name").isin("default", "__esModule") & ~N.is_generic_module(F.col("export_name")) & ~N.begins_with_verb(F.col("export_name")))
     one = says.groupBy("bundle_id", "module_id").agg(F.min("export_name").alias("name"), F.countDistinct("export_name").alias("_n"))
     return one.where("_n = 1").drop("_n")
 

@@ -31,7 +31,7 @@ def fan_out_guard(queued: DataFrame, name: str, most: int = 8) -> DataFrame:
 def finalize_stems(modules: DataFrame, id_: str, name: str, truth: Column, most: int = 4) -> DataFrame:
     """id, name: generic names and names of actions are dropped, as are stems that more than `most` modules share;
     of the others that collide the best keeps the stem (ground truth first, then the smallest id), the rest lose it."""
-    kept = F.when(N.is_generic_module(F.col(name)) | (N.names_an_action(F.col(name)) & ~truth), None).otherwise(F.col(name))
+    kept = F.when(N.is_generic_module(F.col(name)) | (N.begins_with_verb(F.col(name)) & ~truth), None).otherwise(F.col(name))
     rows = modules.select(id_, kept.alias(name), truth.alias("_truth"))
     w = Window.partitionBy(name)
     rows = rows.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_r", F.row_number().over(w.orderBy(F.desc("_truth"), id_)))

@@ -43,18 +43,16 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 TOKENS = "SELECT doc_id AS function_id, unnest(range(0, len(string_split(text, ' ')))) AS \"offset\", unnest(string_split(text, ' ')) AS value FROM documents"
 
 
-def edges(spark: SparkSession, sf_dir: str, sparse: bool = True) -> DataFrame:
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """src, dst: nation of the customer to nation of the supplier."""
     line = table(spark, sf_dir, "lineitem")
-    if sparse:
-        line = line.where("l_quantity = 1 AND l_linenumber = 1 AND l_returnflag = 'R'")
     orders, customer, supplier = (table(spark, sf_dir, t) for t in ("orders", "customer", "supplier"))
     joined = line.join(orders, line.l_orderkey == orders.o_orderkey).join(customer, F.col("o_custkey") == F.col("c_custkey")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
     return joined.select(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst")).distinct()
 
 
 EDGES = """SELECT DISTINCT c_nationkey AS src, s_nationkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity = 1 AND l_linenumber = 1 AND l_returnflag = 'R'"""
+JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey"""
 
 
 # Cross references
@@ -89,9 +87,9 @@ def name_fallback(spark, sf_dir):
     return xref.with_names(part.select("p_partkey"), names, "p_partkey", "name", F.concat(F.lit("f"), F.col("p_partkey").cast("string"))).select("p_partkey", "name")
 
 
-@query("SELECT p_name, min(p_partkey) AS p_partkey FROM part WHERE p_size = 7 GROUP BY p_name HAVING count(DISTINCT p_partkey) = 1")
+@query("SELECT p_brand, p_size, p_name, min(p_partkey) AS p_partkey FROM part GROUP BY p_brand, p_size, p_name HAVING count(DISTINCT p_partkey) = 1")
 def unique_name_resolve(spark, sf_dir):
-    return xref.unique_names(table(spark, sf_dir, "part").where("p_size = 7").select("p_partkey", "p_name"), "p_partkey", "p_name")
+    return xref.unique_names(table(spark, sf_dir, "part").select("p_brand", "p_size", "p_partkey", "p_name"), "p_partkey", "p_name", ("p_brand", "p_size"))
 
 
 @query("SELECT p_name AS name, string_agg(CAST(p_partkey AS VARCHAR), ',' ORDER BY p_partkey) AS ids FROM part GROUP BY p_name")
@@ -261,9 +259,9 @@ def identifier_filter(spark, sf_dir):
 # Rows
 
 
-@query("SELECT l_orderkey, CAST(unnest(range(0, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT))) AS BIGINT) AS position FROM lineitem WHERE l_orderkey < 400 GROUP BY l_orderkey")
+@query("SELECT l_orderkey, CAST(unnest(range(0, CAST(sum(CAST(l_linenumber AS BIGINT)) AS BIGINT))) AS BIGINT) AS position FROM lineitem GROUP BY l_orderkey")
 def rle_expand(spark, sf_dir):
-    runs = table(spark, sf_dir, "lineitem").where("l_orderkey < 400").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("long").alias("n"), "l_partkey")
+    runs = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_linenumber").cast("long").alias("n"))
     runs = runs.groupBy("l_orderkey", "l_linenumber").agg(F.sum("n").alias("n"))
     return rows.expand_runs(runs, ["l_orderkey"], "l_linenumber", "n").select("l_orderkey", "position")
 
@@ -462,7 +460,7 @@ def ancestor_chain(spark, sf_dir):
 
 def one_graph(spark, sf_dir):
     """The call graph of all line items as one bundle's, callees in id order."""
-    e = edges(spark, sf_dir, sparse=False)
+    e = edges(spark, sf_dir)
     return e.select(F.lit("nations").alias("bundle"), F.col("src").cast("long"), F.col("dst").cast("long"), F.col("dst").cast("long").alias("ordinal"))
 
 
@@ -509,9 +507,7 @@ def reaching_definitions(spark, sf_dir):
     return graphs.reaching_definitions(sets.drop("uses"), links, "user_id")
 
 
-@query(f"""WITH RECURSIVE e AS ({EDGES}), named AS (SELECT n_nationkey AS node, CASE WHEN n_nationkey < 2 THEN n_name END AS name FROM nation),
-r1 AS (SELECT n.node, coalesce(n.name, (SELECT min(m.name) FROM e JOIN named m ON m.node = e.src WHERE e.dst = n.node AND m.name IS NOT NULL)) AS name FROM named n)
-SELECT node, name FROM r1""")
+@query()
 def propagate_names(spark, sf_dir):
     start = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("node"), F.when(F.col("n_nationkey") < 2, F.col("n_name")).alias("name"))
-    return graphs.copy_names(start, edges(spark, sf_dir), N.is_generic_param, rounds=1, most_fans=1000)
+    return graphs.copy_names(start, edges(spark, sf_dir), N.is_generic_param)

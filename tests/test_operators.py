@@ -12,7 +12,7 @@ def one(spark, column, *values, schema="v string"):
 
 def test_names(spark):
     assert one(spark, names.is_generic_param, "arg0", "r12", "t", "email", "first", "class", "closure_1_2", "outer", "numb", None) == [True, True, True, False, True, True, True, True, False, None]
-    assert one(spark, names.names_an_action, "getThing", "get", "gettable", "useX", "island") == [True, False, False, True, False]
+    assert one(spark, names.begins_with_verb, "getThing", "get", "gettable", "useX", "island") == [True, False, False, True, False]
     assert one(spark, names.is_role_with_digits, "obj129", "object", "set7", "settings") == [True, False, True, False]
     assert one(spark, names.semantic_identifier, "12", "class", "ok", "a-b") == ["v12", "_class", "ok", None]
     assert one(spark, names.sanitized_identifier, "a-b", "9x", "class", "") == ["a_b", "_9x", "_class", "_"]

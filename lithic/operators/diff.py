@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from .rows import numbered
+
 ALIGNED = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("kind", "old", "new")]))
 
 
@@ -26,8 +28,9 @@ def pair(old: DataFrame, new: DataFrame) -> DataFrame:
 
     a, b = side(old, "old_id"), side(new, "new_id")
     same = a.join(b, ["name", "h", "k"]).select("name", "old_id", "new_id")
-    rest = lambda x, id_: x.join(same.select("name", id_), ["name", id_], "left_anti").select("name", id_).withColumn("k", F.row_number().over(Window.partitionBy("name").orderBy(id_)))
-    left = rest(a, "old_id").join(rest(b, "new_id"), ["name", "k"], "full").select("name", "old_id", "new_id")
+    rest = lambda x, id_: x.join(same.select("name", id_), ["name", id_], "left_anti").select("name", id_)
+    # Most functions of a bundle have no name: their positions are counted in parts.
+    left = numbered(rest(a, "old_id"), ["name"], "old_id", "k").join(numbered(rest(b, "new_id"), ["name"], "new_id", "k"), ["name", "k"], "full").select("name", "old_id", "new_id")
     return same.unionByName(left)
 
 

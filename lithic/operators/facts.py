@@ -32,11 +32,12 @@ def finalize_stems(modules: DataFrame, id_: str, name: str, truth: Column, most:
     """id, name: generic names and names of actions are dropped, as are stems that more than `most` modules share;
     of the others that collide the best keeps the stem (ground truth first, then the smallest id), the rest lose it."""
     kept = F.when(N.is_generic_module(F.col(name)) | (N.begins_with_verb(F.col(name)) & ~truth), None).otherwise(F.col(name))
-    rows = modules.select(id_, kept.alias(name), truth.alias("_truth"))
+    every = modules.select(id_, kept.alias(name), truth.alias("_truth"))
+    rows = every.where(F.col(name).isNotNull())  # the many without a name meet in no window
     w = Window.partitionBy(name)
     rows = rows.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_r", F.row_number().over(w.orderBy(F.desc("_truth"), id_)))
     final = F.when(F.col("_n") <= 1, F.col(name)).when((F.col("_n") > most) & ~F.col("_truth"), None).when(F.col("_r") == 1, F.col(name))
-    return rows.select(id_, final.alias(name))
+    return rows.select(id_, final.alias(name)).unionByName(every.where(F.col(name).isNull()).select(id_, name))
 
 
 def make_unique(df: DataFrame, scope: str, order: str, base: str, out: str = "unique_name") -> DataFrame:

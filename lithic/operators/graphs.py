@@ -137,32 +137,67 @@ def dependency_tree(edges: DataFrame, key: str, root: int, max_depth: int) -> Da
     return edges.groupBy(key).applyInPandas(run, f"{key} {edges.schema[key].dataType.simpleString()}, ordinal long, depth long, node long")
 
 
-def dominator_sets(graph: dict[int, list[int]], roots: set[int]) -> dict[int, set[int]]:
-    nodes = sorted({*graph, *(d for v in graph.values() for d in v), *roots})
+def immediate_dominators(graph: dict[int, list[int]], root: int) -> dict[int, int]:
+    """node -> immediate dominator of everything that root reaches, root -> root; linear memory.
+
+    The published iterative scheme: in reverse post-order, a node's dominator is where the chains of its processed
+    predecessors meet, until nothing changes.
+    """
+    order = depth_first(graph, [root])
+    rank = {n: k for k, n in enumerate(order)}
     before: dict[int, list[int]] = defaultdict(list)
-    for s, v in graph.items():
-        for d in v:
+    for s in order:
+        for d in graph.get(s, ()):
             before[d].append(s)
-    dom = {n: {n} if n in roots else set(nodes) for n in nodes}
+    up = {root: root}
     changed = True
     while changed:
         changed = False
-        for n in nodes:
-            if n in roots or not before[n]:
-                continue
-            new = set.intersection(*(dom[p] for p in before[n])) | {n}
-            if new != dom[n]:
-                dom[n], changed = new, True
-    return dom
+        for n in reversed(order[:-1]):
+            meet = None
+            for p in before[n]:
+                if p not in up:
+                    continue
+                a, b = p, p if meet is None else meet
+                while a != b:
+                    if rank[a] < rank[b]:
+                        a = up[a]
+                    else:
+                        b = up[b]
+                meet = a
+            if up.get(n) != meet:
+                up[n], changed = meet, True
+    return up
+
+
+def dominates(up: dict[int, int], a: int, b: int) -> bool:
+    while b in up and b != a and up[b] != b:
+        b = up[b]
+    return a == b
+
+
+def dominator_tree(edges: DataFrame, key: str, root: int) -> DataFrame:
+    """key, node, dominator: the immediate one of each node that root reaches (root's own is root)."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        up = immediate_dominators(graph_of(rows), root)
+        return pd.DataFrame({key: rows[key].iloc[0], "node": list(up), "dominator": list(up.values())})
+
+    return edges.groupBy(key).applyInPandas(run, f"{key} {edges.schema[key].dataType.simpleString()}, node long, dominator long")
 
 
 def dominators(edges: DataFrame, key: str, root: int) -> DataFrame:
-    """key, node, dominator (strict ones and itself)."""
+    """key, node, dominator: all dominators of each node that root reaches, itself among them (see dominator_tree for one each)."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        dom = dominator_sets(graph_of(rows), {root})
-        out = [(rows[key].iloc[0], n, d) for n, ds in dom.items() for d in sorted(ds)]
-        return pd.DataFrame(out, columns=[key, "node", "dominator"])
+        up, out = immediate_dominators(graph_of(rows), root), []
+        for n in up:
+            out.append((n, n))
+            at = n
+            while up[at] != at:
+                at = up[at]
+                out.append((n, at))
+        return pd.DataFrame([(rows[key].iloc[0], *x) for x in out], columns=[key, "node", "dominator"])
 
     return edges.groupBy(key).applyInPandas(run, f"{key} {edges.schema[key].dataType.simpleString()}, node long, dominator long")
 
@@ -172,19 +207,19 @@ def loops(edges: DataFrame, key: str, root: int) -> DataFrame:
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         graph = graph_of(rows)
-        dom = dominator_sets(graph, {root})
+        up = immediate_dominators(graph, root)
         before: dict[int, set[int]] = defaultdict(set)
         for s, v in graph.items():
             for d in v:
                 before[d].add(s)
         out = []
-        for latch in sorted(graph):
+        for latch in sorted(n for n in graph if n in up):
             for header in sorted(set(graph[latch])):
-                if header in dom[latch]:
+                if dominates(up, header, latch):
                     body, todo = {header, latch}, [latch] if latch != header else []
                     while todo:
                         for p in before[todo.pop()]:
-                            if p not in body:
+                            if p not in body and p in up:
                                 body.add(p)
                                 todo.append(p)
                     out += [(rows[key].iloc[0], header, latch, n) for n in sorted(body)]
@@ -193,6 +228,33 @@ def loops(edges: DataFrame, key: str, root: int) -> DataFrame:
     return edges.groupBy(key).applyInPandas(run, f"{key} {edges.schema[key].dataType.simpleString()}, header long, latch long, node long")
 
 
+def dataflow(facts: DataFrame, edges: DataFrame, key: str, transfer, forward: bool = True, most: int = 16) -> DataFrame:
+    """key, block, before, after: sets that flow along edges to a fixpoint, joined by union; facts(key, block, …).
+
+    transfer(row of facts, set that flows in) gives the set that flows out. Blocks that nothing reaches contribute the
+    empty set. At most `most` rounds over a program's blocks, beyond which the sets found so far stand.
+    """
+
+    def run(k: tuple, b: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        feeds: dict[int, list[int]] = defaultdict(list)
+        for s, d in zip(e["src"], e["dst"], strict=True):
+            feeds[int(d if forward else s)].append(int(s if forward else d))
+        rows = {int(r["block"]): r for r in b.to_dict("records")}
+        into, out = {n: set() for n in rows}, {n: set() for n in rows}
+        for _ in range(most):
+            changed = False
+            for n in sorted(rows, reverse=not forward):
+                into[n] = set().union(*(out.get(p, set()) for p in feeds[n]))
+                new = set(transfer(rows[n], into[n]))
+                changed, out[n] = changed or new != out[n], new
+            if not changed:
+                break
+        return pd.DataFrame({key: k[0], "block": list(rows), "before": [sorted(into[n]) for n in rows], "after": [sorted(out[n]) for n in rows]})
+
+    kind = facts.schema[key].dataType.simpleString()
+    return facts.groupBy(key).cogroup(edges.groupBy(key)).applyInPandas(run, f"{key} {kind}, block long, before array<string>, after array<string>")
+
+
 def liveness(blocks: DataFrame, edges: DataFrame, key: str) -> DataFrame:
     """key, block, live_in, live_out; blocks(key, block, uses, defs): uses are those before any definition in the block."""
 

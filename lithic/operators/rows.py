@@ -67,6 +67,22 @@ def block_starts(df: DataFrame, key: list[str], order: list[str], starts: Column
     return df.withColumn("_flag", flag).withColumn(out, F.sum("_flag").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1).drop("_flag")
 
 
+def numbered(df: DataFrame, key: list[str], order: str, out: str, parts: int = 256) -> DataFrame:
+    """out: the row's number from 1 within its key, by the whole number in order.
+
+    A key's rows are dealt to ranges of order and numbered there, after the sizes of the ranges before: a key that
+    holds a third of all rows takes many tasks, not one. Ties within (key, order) are not told apart.
+    """
+    bounds = df.agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
+    share = (F.col(order).cast("double") - F.col("_lo")) / (F.col("_hi").cast("double") - F.col("_lo") + 1)
+    dealt = df.join(F.broadcast(bounds)).withColumn("_part", F.floor(share * parts).cast("int")).drop("_lo", "_hi")  # one row of bounds
+    sizes = dealt.groupBy(*key, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = F.sum("_n").over(Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select(*key, "_part", F.coalesce(earlier, F.lit(0)).alias("_start"))
+    within = F.row_number().over(Window.partitionBy(*key, "_part").orderBy(order))
+    return dealt.withColumn(out, within).join(starts, [*key, "_part"]).withColumn(out, F.col(out) + F.col("_start")).drop("_part", "_start")
+
+
 def page(df: DataFrame, order: list, offset: int, limit: int) -> DataFrame:
     return df.orderBy(*order).offset(offset).limit(limit)
 

@@ -58,12 +58,12 @@ def dependents(edges: DataFrame, src: str, dst: str, target: Column) -> DataFram
 def division(have: DataFrame, required: DataFrame, owner: str, item: str, name: str, priority: str) -> DataFrame:
     """owner -> the first name, by priority, all of whose items the owner has."""
     need = required.groupBy(name, priority).agg(F.countDistinct(item).alias("_need"))
-    got = have.select(owner, item).distinct().join(F.broadcast(required), item).groupBy(owner, name, priority).agg(F.countDistinct(item).alias("_got"))
-    full = got.join(F.broadcast(need), [name, priority]).where("_got = _need")
+    got = have.select(owner, item).distinct().join(required, item).groupBy(owner, name, priority).agg(F.countDistinct(item).alias("_got"))
+    full = got.join(need, [name, priority]).where("_got = _need")
     return full.groupBy(owner).agg(F.min_by(name, priority).alias(name))
 
 
 def signature(have: DataFrame, signatures: DataFrame, owner: str, item: str, name: str, priority: str, least: str) -> DataFrame:
     """owner -> the first name, by priority, of whose items it has at least `least`."""
-    got = have.select(owner, item).distinct().join(F.broadcast(signatures), item).groupBy(owner, name, priority, least).agg(F.countDistinct(item).alias("_got"))
+    got = have.select(owner, item).distinct().join(signatures, item).groupBy(owner, name, priority, least).agg(F.countDistinct(item).alias("_got"))
     return got.where(F.col("_got") >= F.col(least)).groupBy(owner).agg(F.min_by(name, priority).alias(name))

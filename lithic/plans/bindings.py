@@ -479,6 +479,11 @@ def dominators(spark, sf_dir):
     return graphs.dominators(one_graph(spark, sf_dir), "bundle", 0)
 
 
+@query()
+def dominator_tree(spark, sf_dir):
+    return graphs.dominator_tree(one_graph(spark, sf_dir), "bundle", 0)
+
+
 @query()
 def natural_loops(spark, sf_dir):
     return graphs.loops(one_graph(spark, sf_dir), "bundle", 0)

@@ -82,3 +82,52 @@ def test_names_spread_to_a_fixpoint(spark):
     got = {x.node: x.name for x in graphs.copy_names(spark.createDataFrame(names, "node long, name string"), spark.createDataFrame(links, "src long, dst long"), N.is_generic_param).collect()}
     assert got == brute_names(names, links)
     assert got[12] == "login" and got[25] is None and got[39] == "login"
+
+
+def brute_dominators(links, root):
+    def reached(without):
+        seen, todo = set(), [] if without == root else [root]
+        while todo:
+            n = todo.pop()
+            if n not in seen:
+                seen.add(n)
+                todo += [d for s, d in links if s == n and d != without]
+        return seen
+
+    every = reached(None)
+    strict = {n: {d for d in every if d != n and n not in reached(d)} for n in every}
+    return {n: max(strict[n], key=lambda d: len(strict[d])) if strict[n] else n for n in every}
+
+
+def test_flow_of_random_graphs_equals_brute_force(spark):
+    import random
+
+    r = random.Random(4)
+    links = {f"g{g}": sorted({(r.randrange(9), r.randrange(9)) for _ in range(14)} | {(0, 1)}) for g in range(6)}
+    rows = [(g, s, d, d) for g, v in links.items() for s, d in v]
+    edges = spark.createDataFrame(rows, "bundle string, src long, dst long, ordinal long")
+    got = {(x.bundle, x.node): x.dominator for x in graphs.dominator_tree(edges, "bundle", 0).collect()}
+    assert got == {(g, n): d for g, v in links.items() for n, d in brute_dominators(v, 0).items()}
+    back = {(x.bundle, x.header, x.latch) for x in graphs.loops(edges, "bundle", 0).collect()}
+    over = {g: brute_dominators(v, 0) for g, v in links.items()}
+
+    def above(up, n):
+        return {n} if up[n] == n else {n} | above(up, up[n])
+
+    assert back == {(g, d, s) for g, v in links.items() for s, d in v if s in over[g] and d in above(over[g], s)}
+
+    blocks = spark.createDataFrame([(g, n, [f"v{n % 3}"] if n % 2 else []) for g in links for n in range(9)], "bundle string, block long, defs array<string>")
+    flow = graphs.dataflow(blocks, edges.drop("ordinal"), "bundle", lambda row, seen: {x for x in seen if x.split("@")[0] not in set(row["defs"])} | {f"{d}@{row['block']}" for d in row["defs"]}, most=50)
+    found = {(x.bundle, x.block, *v.split("@")) for x in flow.collect() for v in x.before}
+    same = {(x.bundle, x.block, x.variable, str(x.defined_in)) for x in graphs.reaching_definitions(blocks, edges.drop("ordinal"), "bundle").collect()}
+    assert found == same
+
+
+def test_numbers_of_a_hot_key(spark):
+    from lithic.operators import rows
+
+    df = spark.createDataFrame([("" if k % 3 else "x", k * 7) for k in range(900)], "name string, id long")
+    got = {(x.name, x.id): x.k for x in rows.numbered(df, ["name"], "id", "k").collect()}
+    for name in ("", "x"):
+        assert [got[name, i] for i in sorted(i for n, i in got if n == name)] == list(range(1, sum(n == name for n, _ in got) + 1))
+    assert rows.numbered(df.limit(0), ["name"], "id", "k").collect() == []

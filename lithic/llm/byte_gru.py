@@ -1,15 +1,19 @@
 """Language identification by a bidirectional gated recurrent network over bytes, trained in numpy.
 
-The network reads a text's bytes segment by segment (what lies between ASCII blanks, with a leading blank, in pieces
-of at most SEGMENT bytes) and labels every position with a language distribution; a document's log probabilities
-are pooled over all its positions. The state starts anew with each segment, so equal segments are read once and
-kept in a bounded cache, and whole texts of any length cost what their distinct segments cost. Training is
-backpropagation through time over a bounded, documented sample of labelled rows (MAX_DOCS).
+The network labels every byte position of a text with a language distribution; a document's log probabilities are
+pooled over all its positions. The state runs on across words and blanks. So that a text of any length takes bounded
+memory, it is read in windows that label WINDOW positions each: the state of either direction enters a window CONTEXT
+bytes before the first position it labels. Before and after a text stand blanks. A shorter text has one window of the
+next of SHORT sizes; the last window of a longer one ends with the text, and labels what the window before it left.
+Windows depend on the text alone, so equal texts get equal answers whatever stands beside them.
+
+The squashing functions are x / (1 + |x|) for the candidate state and its half plus a half for the gates, which numpy
+works out several times faster than tanh. Training is backpropagation through time over a bounded, documented sample
+of labelled rows (MAX_DOCS), of which whole texts are read, in pieces of PIECE bytes.
 
 Defined results: a null text, or one without a letter, is `und` with score 0. Without any labelled training row
 every text is `und`. Ties go to the language first in code-point order. Repeated rows get equal answers. Extra
-columns pass through, but for those named like a result. Training uses at most WORDS_PER_DOC segments of a training
-row, spread over its whole text; prediction reads all of every text.
+columns pass through, but for those named like a result.
 """
 
 from __future__ import annotations
@@ -25,27 +29,31 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .shared import fitted
 
-SEGMENT = 20
-HIDDEN = 16
+WINDOW, CONTEXT = 256, 32
+SHORT = (32, 64, 128, WINDOW)
+#: So many windows are read together.
+BLOCK = 2048
+PIECE = 64
+HIDDEN = 12
 MAX_DOCS = 2000
-WORDS_PER_DOC = 120
-CACHE = 200_000
 SEED = 11
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (np.tanh(0.5 * x) + 1)
+def squash(x: np.ndarray) -> None:
+    """In place."""
+    size = np.abs(x)
+    size += 1
+    x /= size
+
+
+def slope(gate: np.ndarray) -> np.ndarray:
+    """The derivative of a gate, from its value."""
+    return 0.5 * (1 - np.abs(2 * gate - 1)) ** 2
 
 
-def segments(text: str) -> list[bytes]:
-    out = []
-    for w in text.encode("utf-8", "surrogatepass").lower().split():
-        if len(w) < SEGMENT:
-            out.append(b" " + w)
-        else:
-            w = b" " + w
-            out += [w[i : i + SEGMENT] for i in range(0, len(w), SEGMENT)]
-    return out
+def body(text: str) -> bytes:
+    """The text's bytes, ASCII letters in lower case."""
+    return text.encode("utf-8", "surrogatepass").lower()
 
 
 def has_letter(text: str | None) -> bool:
@@ -70,40 +78,49 @@ class ByteGRU:
         w["bias"] = np.zeros(len(langs))
         return cls(langs, {k: v.astype(np.float32) for k, v in w.items()})
 
-    def run(self, x: np.ndarray, d: str, keep: bool = False):
-        """States (T, n, h) over x (T, n) bytes; with keep, what backpropagation needs."""
+    def run(self, x: np.ndarray, d: str, keep: bool = False, skip: int = 0):
+        """States (T - skip, n, h) over x (T, n) bytes, without the first `skip`; with keep, what backpropagation needs."""
         wx, u = self.w[d + "x"], self.w[d + "u"]
-        h = u.shape[0]
-        state = np.zeros((x.shape[1], h), np.float32)
-        states, saved = np.empty((*x.shape, h), np.float32), []
+        h, n = u.shape[0], x.shape[1]
+        x_gates, x_candidate, gates, candidate = (np.ascontiguousarray(a) for a in (wx[:, : 2 * h], wx[:, 2 * h :], u[:, : 2 * h], u[:, 2 * h :]))
+        state = np.zeros((n, h), wx.dtype)
+        states, saved = np.empty((x.shape[0] - skip, n, h), wx.dtype), []
         for t in range(x.shape[0]):
-            g = wx[x[t]]
-            zr = sigmoid(g[:, : 2 * h] + state @ u[:, : 2 * h])
+            zr = state @ gates
+            zr += x_gates.take(x[t], axis=0)
+            squash(zr)
+            zr += 1
+            zr *= 0.5
             z, r = zr[:, :h], zr[:, h:]
-            c = np.tanh(g[:, 2 * h :] + (r * state) @ u[:, 2 * h :])
+            c = (r * state) @ candidate
+            c += x_candidate.take(x[t], axis=0)
+            squash(c)
             if keep:
                 saved.append((state, z, r, c))
-            state = state + z * (c - state)
-            states[t] = state
+            step = c - state
+            step *= z
+            state = np.add(state, step, out=states[t - skip] if t >= skip else None)
         return states, saved
 
     def logits(self, f: np.ndarray, b: np.ndarray) -> np.ndarray:
         h = f.shape[-1]
         return f @ self.w["out"][:h] + b @ self.w["out"][h:] + self.w["bias"]
 
-    def log_probs(self, segs: list[bytes]) -> np.ndarray:
-        """(n, L): each segment's log probabilities, summed over its positions."""
-        out = np.empty((len(segs), len(self.langs)), np.float32)
-        lengths = np.array([len(s) for s in segs])
-        for n in np.unique(lengths):
-            at = np.flatnonzero(lengths == n)
-            for part in np.array_split(at, max(1, len(at) // 2048)):
-                x = np.frombuffer(b"".join(segs[i] for i in part), np.uint8).reshape(len(part), n).T
-                y = self.logits(self.run(x, "f")[0], self.run(x[::-1], "b")[0][::-1])
-                y -= y.max(axis=-1, keepdims=True)
-                y -= np.log(np.exp(y).sum(axis=-1, keepdims=True))
-                out[part] = y.sum(axis=0)
-        return out
+    def log_probs(self, held: np.ndarray, at: np.ndarray, size: int, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """(n, L): log probabilities of windows of `size` positions from `at` on in held, summed over positions first to last."""
+        steps = np.arange(size + CONTEXT)[:, None]
+        f = self.run(held[at + steps - CONTEXT], "f", skip=CONTEXT)[0]
+        b = self.run(held[at + size + CONTEXT - 1 - steps], "b", skip=CONTEXT)[0][::-1]
+        h, n = f.shape[-1], len(at)
+        out = self.w["out"].T
+        # Languages first: numpy is slow along short last axes.
+        y = out[:, :h] @ f.reshape(-1, h).T + out[:, h:] @ b.reshape(-1, h).T + self.w["bias"][:, None]
+        y -= y.max(axis=0)
+        y -= np.log(np.exp(y).sum(axis=0))
+        place = np.arange(size)[:, None]
+        y = y.reshape(-1, size, n)
+        y *= (place >= first) & (place < last)
+        return y.sum(axis=1).T
 
     def gradients(self, x: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Loss and gradients, by backpropagation through time; every position of a column has its target."""
@@ -124,49 +141,51 @@ class ByteGRU:
         g = {"bias": dy.sum(axis=(0, 1)), "out": np.concatenate([np.tensordot(f, dy, ([0, 1], [0, 1])), np.tensordot(b, dy, ([0, 1], [0, 1]))])}
         for d, saved, bytes_, dh_all in (("f", fs, x, dy @ self.w["out"][:h].T), ("b", bs, x[::-1], (dy @ self.w["out"][h:].T)[::-1])):
             u = self.w[d + "u"]
-            gx, gu = np.zeros_like(self.w[d + "x"]), np.zeros_like(u)
+            gx, gu, per_byte = np.zeros_like(self.w[d + "x"]), np.zeros_like(u), [None] * x.shape[0]
             carry = np.zeros((x.shape[1], h), np.float32)
             for t in range(x.shape[0] - 1, -1, -1):
                 before, z, r, c = saved[t]
                 dh = dh_all[t] + carry
-                dc = dh * z * (1 - c * c)
+                dc = dh * z * (1 - np.abs(c)) ** 2
                 drs = dc @ u[:, 2 * h :].T
-                dzr = np.concatenate([dh * (c - before) * z * (1 - z), drs * before * r * (1 - r)], axis=1)
+                dzr = np.concatenate([dh * (c - before) * slope(z), drs * before * slope(r)], axis=1)
                 carry = dh * (1 - z) + drs * r + dzr @ u[:, : 2 * h].T
                 gu[:, : 2 * h] += before.T @ dzr
                 gu[:, 2 * h :] += (r * before).T @ dc
-                np.add.at(gx, bytes_[t], np.concatenate([dzr, dc], axis=1))
+                per_byte[t] = np.concatenate([dzr, dc], axis=1)
+            flat = bytes_.reshape(-1)
+            order = np.argsort(flat, kind="stable")
+            seen, first = np.unique(flat[order], return_index=True)
+            gx[seen] = np.add.reduceat(np.concatenate(per_byte)[order], first, axis=0)
             g[d + "x"], g[d + "u"] = gx, gu
         return loss, g
 
 
-def train(texts: list[str], langs: list[str], hidden: int = HIDDEN, steps: int = 1500, batch: int = 256, seed: int = SEED) -> ByteGRU:
+def train(texts: list[str], langs: list[str], hidden: int = HIDDEN, steps: int = 600, batch: int = 128, seed: int = SEED) -> ByteGRU:
+    """Whole passes over all pieces of the texts, in a random order each, of at least `steps` steps together."""
     names = sorted(set(langs))
     model = ByteGRU.fresh(names, hidden, seed)
-    r = np.random.default_rng(seed)
-    pool: dict[int, list[tuple[bytes, int]]] = {}
-    for text, lang in zip(texts, langs, strict=True):
-        found = segments(text)
-        if len(found) > WORDS_PER_DOC:  # spread over the whole text
-            found = [found[i] for i in r.choice(len(found), WORDS_PER_DOC, replace=False)]
-        for s in found:
-            pool.setdefault(len(s), []).append((s, names.index(lang)))
-    if not pool or len(names) < 2:
+    if len(names) < 2:
         return model
-    counts = np.bincount([k for rows in pool.values() for _, k in rows], minlength=len(names))
+    r = np.random.default_rng(seed)
+    found = [body(t).ljust(PIECE) for t in texts]
+    held = np.frombuffer(b"".join(found), np.uint8)
+    ends = np.cumsum([len(f) for f in found])
+    per = [-(-len(f) // PIECE) for f in found]
+    # The last piece of a text ends with it.
+    at = np.concatenate([np.minimum(e - len(f) + np.arange(k) * PIECE, e - PIECE) for e, f, k in zip(ends, found, per, strict=True)])
+    target = np.repeat([names.index(n) for n in langs], per)
+    counts = np.bincount(target, minlength=len(names))
     weight = (counts.sum() / np.maximum(counts, 1)) ** 0.5
-    sizes = sorted(pool)
-    # By positions, so that long segments are read as often as their bytes deserve.
-    chance = np.array([len(pool[n]) for n in sizes], float)
-    chance /= chance.sum()
-    data = {n: (np.frombuffer(b"".join(s for s, _ in pool[n]), np.uint8).reshape(-1, n), np.array([k for _, k in pool[n]])) for n in sizes}
+    one_pass = -(-len(at) // batch)
+    steps = -(-max(steps, one_pass) // one_pass) * one_pass
     m = {k: np.zeros_like(v) for k, v in model.w.items()}
     v = {k: np.zeros_like(w) for k, w in model.w.items()}
     for step in range(1, steps + 1):
-        n = sizes[r.choice(len(sizes), p=chance)]
-        x, y = data[n]
-        at = r.integers(0, len(y), batch)
-        _, g = model.gradients(x[at].T, y[at], weight[y[at]])
+        if (step - 1) % one_pass == 0:
+            order = r.permutation(len(at))
+        pick = order[(step - 1) % one_pass * batch :][:batch]
+        _, g = model.gradients(held[at[pick] + np.arange(PIECE)[:, None]], target[pick], weight[target[pick]])
         rate = 0.01 * min(1.0, step / 50) * (1 - step / (steps + 1)) + 1e-4
         for k, w in model.w.items():
             m[k] = 0.9 * m[k] + 0.1 * g[k]
@@ -190,30 +209,36 @@ def train_rows(texts: list[str], langs: list[str]) -> ByteGRU | None:
     return train([t for t, _ in known], [n for _, n in known]) if known else None
 
 
-class Reader:
-    """A document's pooled probabilities; segments' answers are kept in a cache of bounded size."""
-
-    def __init__(self, model: ByteGRU):
-        self.model, self.cache, self.table = model, {}, np.zeros((0, len(model.langs)), np.float32)
-
-    def read(self, texts: list[str]) -> np.ndarray:
-        found = [segments(t) for t in texts]
-        fresh = list(set().union(*map(set, found)).difference(self.cache))
-        if len(self.cache) + len(fresh) > CACHE:
-            self.cache, self.table = {}, self.table[:0]
-            fresh = list(set().union(*map(set, found)))
-        if fresh:
-            start = len(self.table)
-            self.table = np.concatenate([self.table, self.model.log_probs(fresh)])
-            self.cache.update(zip(fresh, range(start, start + len(fresh)), strict=True))
-        out = np.zeros((len(texts), len(self.model.langs)))
-        for i, segs in enumerate(found):
-            if segs:
-                at = np.fromiter(map(self.cache.__getitem__, segs), np.int64, len(segs))
-                mean = self.table[at].sum(axis=0, dtype=np.float64) / sum(map(len, segs))
-                p = np.exp(mean - mean.max())
-                out[i] = p / p.sum()
-        return out
+def windows(n: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """(positions of a window, where windows begin, their first position that is not yet labelled) of a text of n bytes."""
+    if n <= WINDOW:
+        return next(k for k in SHORT if n <= k), np.zeros(1, np.int64), np.zeros(1, np.int64)
+    fresh = np.arange(0, n, WINDOW)
+    at = np.minimum(fresh, n - WINDOW)
+    return WINDOW, at, fresh - at
+
+
+def pooled(model: ByteGRU, texts: list[str]) -> np.ndarray:
+    """(texts, L): the documents' pooled probabilities."""
+    blanks, found, begin = b" " * CONTEXT, [], 0
+    sums, lengths = np.zeros((len(texts), len(model.langs))), np.zeros(len(texts), np.int64)
+    by_size: dict[int, list[tuple[np.ndarray, ...]]] = {}
+    for i, text in enumerate(texts):
+        read = body(text)
+        lengths[i] = len(read)
+        size, at, first = windows(len(read))
+        found.append(blanks + read.ljust(size) + blanks)
+        by_size.setdefault(size, []).append((begin + CONTEXT + at, first, len(read) - at, np.full(len(at), i)))
+        begin += len(found[-1])
+    held = np.frombuffer(b"".join(found), np.uint8)
+    for size, rows in by_size.items():
+        at, first, last, doc = (np.concatenate(x) for x in zip(*rows, strict=True))
+        for k in range(0, len(at), BLOCK):
+            part = slice(k, k + BLOCK)
+            np.add.at(sums, doc[part], model.log_probs(held, at[part], size, first[part], last[part]))
+    mean = sums / lengths[:, None]
+    p = np.exp(mean - mean.max(axis=1, keepdims=True))
+    return p / p.sum(axis=1, keepdims=True)
 
 
 def label(docs: DataFrame, model: ByteGRU | None, text: str = "text", out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
@@ -226,7 +251,6 @@ def label(docs: DataFrame, model: ByteGRU | None, text: str = "text", out: tuple
     schema = StructType([*fields, StructField(out[0], StringType()), StructField(out[1], DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(model)
         for b in batches:
             for k in range(0, b.num_rows, 500):
                 part = b.slice(k, 500)
@@ -234,9 +258,9 @@ def label(docs: DataFrame, model: ByteGRU | None, text: str = "text", out: tuple
                 known = [i for i, t in enumerate(texts) if has_letter(t)]
                 pred, score = ["und"] * len(texts), [0.0] * len(texts)
                 if known:
-                    p = reader.read([texts[i] for i in known])
+                    p = pooled(model, [texts[i] for i in known])
                     for i, row in zip(known, p, strict=True):
-                        pred[i], score[i] = model.langs[int(row.argmax())], float(row.max())
+                        pred[i], score[i] = model.langs[int(row.argmax())], round(float(row.max()), 6)
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in kept), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=schema.names)
 
     return docs.mapInArrow(run, schema)

@@ -247,6 +247,41 @@ def test_backpropagation_by_differences():
         assert abs((up - down) / 2e-4 - g[k][at]) < 1e-3 * max(1e-3, abs(g[k][at])) + 1e-5
 
 
+def one_by_one(m, text):
+    """Position by position: the states of both directions, each begun CONTEXT bytes before its window."""
+    squash = lambda x: x / (1 + np.abs(x))
+    read = text.encode().lower()
+    size = next((k for k in byte_gru.SHORT if len(read) <= k), byte_gru.WINDOW)
+    wide = b" " * byte_gru.CONTEXT + read.ljust(size) + b" " * byte_gru.CONTEXT
+    total, done = np.zeros(len(m.langs)), 0
+    while done < len(read):
+        at = done if len(read) <= size else min(done, len(read) - size)
+        states = {}
+        for d, part in (("f", range(at, at + byte_gru.CONTEXT + size)), ("b", range(at + 2 * byte_gru.CONTEXT + size - 1, at + byte_gru.CONTEXT - 1, -1))):
+            x, u = m.w[d + "x"].astype(float), m.w[d + "u"].astype(float)
+            h = len(u)
+            s = np.zeros(h)
+            for k in part:
+                zr = (squash(x[wide[k], : 2 * h] + s @ u[:, : 2 * h]) + 1) / 2
+                s = s + zr[:h] * (squash(x[wide[k], 2 * h :] + (zr[h:] * s) @ u[:, 2 * h :]) - s)
+                states[d, k - byte_gru.CONTEXT] = s
+        for k in range(done, min(at + size, len(read))):
+            y = np.concatenate([states["f", k], states["b", k]]) @ m.w["out"] + m.w["bias"]
+            total += y - np.log(np.exp(y).sum())
+        done = at + size
+    p = np.exp(total / len(read))
+    return p / p.sum()
+
+
+def test_language_windows_against_brute_force():
+    m = byte_gru.ByteGRU.fresh(["a", "b", "c"], 6)
+    r = random.Random(5)
+    texts = ["".join(r.choices("abc dé語", k=n)) for n in (1, 20, 32, 33, 120, 200, 256, 257, 700)] + ["abc " * 64, "x" * 257]
+    got = byte_gru.pooled(m, texts)
+    assert np.allclose(got, [one_by_one(m, t) for t in texts], atol=1e-5)
+    assert np.allclose(got[3], byte_gru.pooled(m, [texts[3]])[0], atol=1e-6)  # whatever stands beside it
+
+
 # Packing
 
 

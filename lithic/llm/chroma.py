@@ -31,6 +31,8 @@ SMOOTH = np.array([0.25, 0.75, 1.0, 0.75, 0.25])
 WIDTH = 16
 LEVELS = (-0.12, 0.0, 0.12)
 GRAY = np.array([0, 1, 3, 2], np.uint32)
+#: An integer with more than 1/HOT of all rows of the index, and more than LEAST_SHARE, is dealt to several parts.
+HOT, LEAST_SHARE = 256, 10_000
 
 
 def filter_bank() -> list[tuple[int, int, int, int]]:
@@ -148,6 +150,19 @@ def bit_error_rate(a: Column, b: Column, offset: Column) -> tuple[Column, Column
     return F.aggregate(bits, F.lit(0), lambda s, x: s + x) / (n * 32), n
 
 
+def split_join(query: DataFrame, index: DataFrame, value: str) -> DataFrame:
+    """query joined with index by value. A value with more than 1/HOT of index's rows is dealt to as many parts as it holds
+    such shares; query's rows of it go to each. There are fewer than HOT such values, so they are broadcast.
+    """
+    per = cut(index.groupBy(value).agg(F.count(F.lit(1)).alias("_n")))
+    share = max(LEAST_SHARE, (per.agg(F.sum("_n")).first()[0] or 0) / HOT)
+    hot = F.broadcast(per.where(F.col("_n") > share).select(value, F.ceil(F.col("_n") / share).cast("int").alias("_parts")))
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = index.join(hot, value, "left").withColumn("_part", F.pmod(F.xxhash64("m", "pm"), parts).cast("int")).drop("_parts")
+    copied = query.join(hot, value, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return copied.join(dealt, [value, "_part"]).drop("_part")
+
+
 def align(marked: DataFrame, every: int = 20, most_errors: float = 0.25, least_overlap: int = 8, key: str = "id", fp: str = "fingerprint") -> DataFrame:
     """query_id, match_id, copies, offset, votes, bit_errors: rows whose key is divisible by `every`, against all.
 
@@ -159,7 +174,7 @@ def align(marked: DataFrame, every: int = 20, most_errors: float = 0.25, least_o
     asked_classes = cut(classes.join(asked.select("h").distinct(), "h", "left_semi"))
     index = classes.select(F.col("match_id").alias("m"), F.posexplode("fp").alias("pm", "value"))
     query = asked_classes.select(F.col("match_id").alias("q"), F.posexplode("fp").alias("pq", "value"))
-    votes = query.join(index, "value").where("q <> m").groupBy("q", "m", (F.col("pm") - F.col("pq")).alias("offset")).agg(F.count(F.lit(1)).alias("votes"))
+    votes = split_join(query, index, "value").where("q <> m").groupBy("q", "m", (F.col("pm") - F.col("pq")).alias("offset")).agg(F.count(F.lit(1)).alias("votes"))
     best = votes.groupBy("q", "m").agg(F.max_by(F.struct("offset", "votes"), F.struct("votes", F.negative(F.abs("offset")), F.negative("offset"))).alias("b"))
     left = asked_classes.select(F.col("match_id").alias("q"), F.col("fp").alias("_a"))
     right = classes.select(F.col("match_id").alias("m"), F.col("fp").alias("_b"), "copies")
@@ -176,10 +191,10 @@ def catalogue(marked: DataFrame, every: int = 20, key: str = "id", fp: str = "fi
     """Every recording with its number of integers and its class; those asked for have a row for each alignment."""
     marked = cut(marked.select(F.col(key).cast("long").alias("id"), F.col(fp).alias("fingerprint")))
     has = marked.where(F.col("fingerprint").isNotNull() & F.col("id").isNotNull())
-    classes = has.groupBy(F.xxhash64("fingerprint").alias("_h")).agg(F.min("id").alias("class_id"))
-    sized = marked.select("id", F.when(F.col("fingerprint").isNotNull(), F.size("fingerprint")).alias("n_ints"), F.when(F.col("fingerprint").isNotNull(), F.xxhash64("fingerprint")).alias("_k"))
+    classes = has.groupBy(F.xxhash64("fingerprint").alias("_h"), F.col("fingerprint").alias("_fp")).agg(F.min("id").alias("class_id"))
+    sized = marked.select("id", "fingerprint", F.when(F.col("fingerprint").isNotNull(), F.size("fingerprint")).alias("n_ints"), F.when(F.col("fingerprint").isNotNull(), F.xxhash64("fingerprint")).alias("_k"))
     found = align(marked, every)
-    return sized.join(classes, F.col("_k") == F.col("_h"), "left").join(found, F.col("id") == F.col("query_id"), "left").select("id", "n_ints", "class_id", "match_id", "copies", "offset", "votes", "bit_errors")
+    return sized.join(classes, (F.col("_k") == F.col("_h")) & (F.col("fingerprint") == F.col("_fp")), "left").join(found, F.col("id") == F.col("query_id"), "left").select("id", "n_ints", "class_id", "match_id", "copies", "offset", "votes", "bit_errors")
 
 
 def melody(values: list[float] | None) -> tuple[int, np.ndarray] | None:

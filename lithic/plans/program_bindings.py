@@ -7,13 +7,15 @@ nations for a tree of closures; customers of a nation for an image, which is bui
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions import bits, hashing
 from ..functions import names as N
 from ..functions import text as T
-from ..operators import closures, dumps, facts, program, rows
-from ..sources import bundles, image
+from ..operators import closures, dumps, facts, graphs, program, rows
+from ..operators import debug as debug_operators
+from ..sources import bundles, debug, image
 from .bindings import query, table
 
 # Scalar functions
@@ -435,3 +437,71 @@ def constant_names(spark, sf_dir):
 def generic_modules(spark, sf_dir):
     names = F.array(F.lit("obj129"), F.concat(F.lit("tmp"), "p_size"), F.lit("get thing"), F.concat(F.lit("importDefaultResult"), "p_size"), F.concat(F.lit("_default"), "p_size"), F.lit("settings"), F.lit("arrow"), F.concat(F.lit("Screen"), "p_size"))
     return table(spark, sf_dir, "part").select("p_partkey", N.is_generic_module(F.element_at(names, (F.col("p_partkey") % 8 + 1).cast("int"))).alias("generic"))
+
+
+# Debug sections
+
+DEBUG_VERSIONS = (84, 96, 98, 99)
+
+
+def debug_images(spark, sf_dir):
+    """path, content: an image for each customer, a function for each order, a location for each line number of an order."""
+
+    def built(customer: int, orders: list[dict]) -> bytes:
+        version, streams, scopes, scope_of, callees = DEBUG_VERSIONS[customer % 4], {}, [(None, 0, ["root"])], {}, {}
+        for k, o in enumerate(orders):
+            order = o["o_orderkey"]
+            streams[k] = [(0, order % 100, 0), *((p["l_linenumber"] * 3, p["supplier"] % 500, p["n"]) for p in o["points"] or ())]
+            if order % 3:
+                scope_of[k] = len(scopes)
+                scopes.append((0, order % 4, [o["o_orderpriority"], "", f"s{order % 50}"]))
+            else:
+                callees[order] = f"f{order % 7}"
+        functions = [{"body": image.encode_body([(2, [0])], OPCODES), "name_id": 0} for _ in orders]
+        return image.build(version, ["f"], functions, handlers={0: [(0, 2, 2)]}, debug=debug.build(version, streams, scopes, scope_of, callees))
+
+    def run(batches):
+        for b in batches:
+            rows_ = b.to_pylist()
+            yield pa.RecordBatch.from_pydict({"path": [f"c{r['o_custkey']}" for r in rows_], "content": pa.array([built(r["o_custkey"], r["orders"]) for r in rows_], pa.binary())})
+
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_suppkey").alias("supplier"), F.count(F.lit(1)).alias("n"))
+    points = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "supplier", "n"))).alias("points"))
+    orders = table(spark, sf_dir, "orders").join(points, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    whole = orders.groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", "o_orderpriority", "points"))).alias("orders"))
+    spread = whole.repartition(spark.sparkContext.defaultParallelism, "o_custkey")  # few bytes, much work: more tasks than the sizes call for
+    return graphs.settle(spread.mapInArrow(run, "path string, content binary"))
+
+
+NTH_ORDER = "SELECT *, 'c' || CAST(o_custkey AS VARCHAR) AS bundle_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS nth FROM orders"
+OLD_ORDER = f"SELECT * FROM ({NTH_ORDER}) WHERE o_custkey % 4 < 2 AND o_orderkey % 3 <> 0"
+POINTS = f"""points AS (SELECT bundle_id, nth, 0 AS place, o_orderkey % 100 AS line, 0::BIGINT AS "column" FROM ({NTH_ORDER})
+UNION ALL SELECT bundle_id, nth, l_linenumber * 3, min(l_suppkey) % 500, count(*) FROM ({NTH_ORDER}) JOIN lineitem ON l_orderkey = o_orderkey GROUP BY bundle_id, nth, l_linenumber)"""
+
+
+@query(f"""WITH {POINTS} SELECT bundle_id, nth AS function_id, CAST(row_number() OVER (PARTITION BY bundle_id, nth ORDER BY place) - 1 AS INTEGER) AS ordinal, place::BIGINT AS bytecode_offset, line, "column" FROM points""")
+def debug_locations(spark, sf_dir):
+    return bundles.facts(debug_images(spark, sf_dir), "debug_locations").drop("scope_offset")
+
+
+@query(f"""SELECT bundle_id, nth AS function_id, r::INTEGER AS register, CASE r WHEN 0 THEN o_orderpriority ELSE 's' || CAST(o_orderkey % 50 AS VARCHAR) END AS name FROM ({OLD_ORDER}), (VALUES (0), (2)) AS v(r)""")
+def debug_variables(spark, sf_dir):
+    files = debug_images(spark, sf_dir)
+    return debug_operators.variable_map(bundles.facts(files, "function_scopes"), bundles.facts(files, "scopes"))
+
+
+@query(f"""WITH named AS (SELECT bundle_id, o_orderpriority AS name FROM ({OLD_ORDER}) UNION ALL SELECT bundle_id, 's' || CAST(o_orderkey % 50 AS VARCHAR) FROM ({OLD_ORDER})
+UNION ALL SELECT 'c' || CAST(o_custkey AS VARCHAR), 'root' FROM orders WHERE o_custkey % 4 < 2 GROUP BY o_custkey)
+SELECT bundle_id, 'vars' AS kind, NULL::BIGINT AS place, name AS text FROM named GROUP BY bundle_id, name
+UNION ALL SELECT bundle_id, 'callees', o_orderkey, 'f' || CAST(o_orderkey % 7 AS VARCHAR) FROM ({NTH_ORDER}) WHERE o_custkey % 4 < 2 AND o_orderkey % 3 = 0""")
+def debug_listing(spark, sf_dir):
+    files = debug_images(spark, sf_dir)
+    return debug_operators.listing(bundles.facts(files, "scopes"), bundles.facts(files, "callees"), "vars", "callees")
+
+
+@query(f"""WITH {POINTS}, asked AS (SELECT bundle_id, nth, step * 5 AS "offset" FROM ({NTH_ORDER}), (VALUES (0), (1), (2), (3)) AS v(step))
+SELECT a.bundle_id, a.nth AS function_id, a."offset"::BIGINT AS "offset", p.line, p."column" FROM asked a ASOF JOIN points p ON a.bundle_id = p.bundle_id AND a.nth = p.nth AND a."offset" >= p.place""")
+def debug_lines(spark, sf_dir):
+    files = debug_images(spark, sf_dir)
+    asked = bundles.facts(files, "functions").select("bundle_id", "function_id", F.explode(F.array(*[F.lit(5 * k).cast("long") for k in range(4)])).alias("offset"))
+    return debug_operators.located(asked, bundles.facts(files, "debug_locations"))

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import debug
 from . import image as I
 
 SCHEMAS = {
@@ -19,6 +20,11 @@ SCHEMAS = {
     "sections": "bundle_id string, name string, offset long, size long, entries long",
     "pair_tables": "bundle_id string, table string, ordinal long, first long, second long",
     "bodies": "bundle_id string, version int, function_id long, body binary",
+    "debug_status": "bundle_id string, status string",
+    "debug_locations": "bundle_id string, function_id long, ordinal int, bytecode_offset long, line long, column long, scope_offset long",
+    "function_scopes": "bundle_id string, function_id long, scope_offset long",
+    "scopes": "bundle_id string, scope_offset long, parent_offset long, flags long, is_inner boolean, is_dynamic boolean, names array<string>",
+    "callees": "bundle_id string, address long, name string",
 }
 
 
@@ -47,6 +53,18 @@ def rows_of(kind: str, bundle: str, data: bytes, layout: str | None) -> Iterator
         yield from ((bundle, name, k, *p) for name, pairs in im.tables.items() for k, p in enumerate(pairs))
     elif kind == "bodies":
         yield from ((bundle, im.version, f["function_id"], data[f["offset"] : f["offset"] + f["size"]]) for f in im.functions)
+    else:
+        found = debug.read(data, im)
+        if kind == "debug_status":
+            yield bundle, found.status
+        elif kind == "debug_locations":
+            yield from ((bundle, *x) for x in found.locations)
+        elif kind == "function_scopes":
+            yield from ((bundle, *x) for x in found.function_scopes)
+        elif kind == "scopes":
+            yield from ((bundle, at, parent, flags, bool(flags & debug.INNER), bool(flags & debug.DYNAMIC), names) for at, parent, flags, names in found.scopes)
+        elif kind == "callees":
+            yield from ((bundle, *x) for x in found.callees.items())
 
 
 def facts(files: DataFrame, kind: str, layout: str | None = None) -> DataFrame:

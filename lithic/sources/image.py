@@ -291,12 +291,13 @@ def encode_body(instructions: list[tuple[int, list]], opcodes: dict[int, tuple[s
     return b"".join(struct.pack("<B" + "".join(OPERANDS[t] for t in opcodes[op][1]), op, *values) for op, values in instructions)
 
 
-def build(version: int, strings: list[str], functions: list[dict], *, handlers: dict[int, list[tuple[int, int, int]]] | None = None, options_raw: int = 0, tables: dict | None = None, buffers: dict | None = None) -> bytes:
+def build(version: int, strings: list[str], functions: list[dict], *, handlers: dict[int, list[tuple[int, int, int]]] | None = None, options_raw: int = 0, tables: dict | None = None, buffers: dict | None = None, debug: tuple[bytes, dict[int, tuple[int, int]]] | None = None) -> bytes:
     """A sealed image: functions have body, name_id and optionally param_count, frame_size, flags; strings are identifiers.
 
-    Functions with handlers or large fields get an out-of-line header.
+    Functions with handlers, debug offsets or large fields get an out-of-line header; debug is what debug.build gives.
     """
     handlers, tables, buffers = handlers or {}, tables or {}, buffers or {}
+    section, debug_offsets = debug or (b"", {})
     layout = "modern" if version >= MODERN_FROM else "legacy"
     names = header_fields(version, layout)
     storage, small, overflow = bytearray(), [], []
@@ -353,12 +354,17 @@ def build(version: int, strings: list[str], functions: list[dict], *, handlers:
         own = handlers.get(k, [])
         if own:
             row["flags"] |= HAS_HANDLERS
+        if k in debug_offsets:
+            row["flags"] |= HAS_DEBUG
         widths = dict(fields)
-        if own or any(v >> widths[n] for n, v in row.items()):
+        if own or k in debug_offsets or any(v >> widths[n] for n, v in row.items()):
             info = (at + struct.calcsize(code) + 3) & ~3
             row["info_offset"] = info
             large = struct.pack(code, *(row.get(n, 0) for n in large_names))
-            block = large + b"\x00" * (info - at - len(large)) + struct.pack("<I", len(own)) + b"".join(struct.pack("<III", *h) for h in own)
+            block = large + b"\x00" * (info - at - len(large)) + (struct.pack("<I", len(own)) if own or k not in debug_offsets else b"") + b"".join(struct.pack("<III", *h) for h in own)
+            if k in debug_offsets:
+                stream, scope = debug_offsets[k]
+                block += struct.pack("<III", stream, scope, 0xFFFFFFFF) if layout == "legacy" else struct.pack("<I", stream)
             row = {"flags": OVERFLOWED}
             row |= {"offset": at & 0xFFFF, "info_offset": at >> 16} if layout == "legacy" else {"offset": at & 0xFFFFFF, "name_id": at >> 24}
             tail += pad(block)
@@ -368,9 +374,12 @@ def build(version: int, strings: list[str], functions: list[dict], *, handlers:
             raw |= row.get(n, 0) << shift
             shift += width
         heads += raw.to_bytes(function_size, "little")
+    debug_at = at if section else 0
+    tail += pad(section)
+    at += len(pad(section))
     values = {
         "file_length": at + FOOTER_SIZE, "function_count": len(functions), "string_kind_count": int(bool(strings)), "identifier_count": len(hashes), "string_count": len(strings),
-        "overflow_string_count": len(overflow), "string_storage_size": len(storage), "debug_info_offset": at,
+        "overflow_string_count": len(overflow), "string_storage_size": len(storage), "debug_info_offset": debug_at,
     }
     for n in names:
         if n.endswith("_buffer_size"):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import names as N
 from .functions import text as T
 from .ir import text as program_text
-from .operators import code, diff, dumps, facts, rows, xref
+from .operators import code, debug, diff, dumps, facts, program, rows, xref
 from .sources import bundles
 
 
@@ -67,10 +67,33 @@ class Bundles:
         return program_text.decompile(self.instructions, self.tables["functions"], self.tables["strings"])
 
     def blocks(self) -> DataFrame:
-        return code.blocks(self.instructions, self.tables["exception_handlers"])
+        return code.blocks(self.instructions, self.tables["exception_handlers"], self.switches())
 
     def flow(self) -> DataFrame:
-        return code.edges(self.instructions, self.blocks(), self.tables["exception_handlers"])
+        return code.edges(self.instructions, self.blocks(), self.tables["exception_handlers"], self.switches())
+
+    def switches(self) -> DataFrame:
+        return code.switch_cases(self.instructions, self.tables["tails"])
+
+    def versions(self) -> DataFrame:
+        """Versions that the opcode tables know."""
+        if self.opcodes is None:
+            raise ValueError("versions are those of opcode tables")
+        return self.opcodes.select("version").distinct().orderBy("version")
+
+    def builtin_calls(self, builtins: str) -> DataFrame:
+        names = bundles.builtin_tables(self.spark, builtins)
+        return program.builtin_calls(self.instructions, bundles.table_version(self.tables["bundles"], names), names)
+
+    def debug_info(self, *kinds: str) -> DataFrame:
+        return debug.listing(self.tables["scopes"], self.tables["callees"], *kinds)
+
+    def variables(self) -> DataFrame:
+        return debug.variable_map(self.tables["function_scopes"], self.tables["scopes"])
+
+    def lines(self) -> DataFrame:
+        """Instructions with the line and column that they come from."""
+        return debug.located(self.instructions, self.tables["debug_locations"])
 
     def secrets(self, patterns: tuple = facts.SECRET_PATTERNS) -> DataFrame:
         found = facts.scan_secrets(self.tables["strings"].withColumn("_id", F.struct("bundle_id", "string_id")), "_id", "value", patterns)

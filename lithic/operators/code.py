@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import bits
+
 KEY = ["bundle_id", "function_id"]
 ENDS = ("Ret", "Throw")
+SWITCHES = ("SwitchImm", "UIntSwitchImm", "StringSwitchImm")
 
 
 def jumps(instructions: DataFrame) -> DataFrame:
@@ -20,9 +23,40 @@ def jumps(instructions: DataFrame) -> DataFrame:
     return instructions.where(F.col("name").startswith("J")).select(*KEY, "offset", "length", (F.col("offset") + target).alias("target"), conditional.alias("conditional"))
 
 
-def blocks(instructions: DataFrame, handlers: DataFrame) -> DataFrame:
-    """bundle_id, function_id, block_id, start, end: a block starts at the entry, at jump targets, after jumps and ends, at handler boundaries."""
-    j = jumps(instructions)
+def all_jumps(instructions: DataFrame, switches: DataFrame | None) -> DataFrame:
+    found = jumps(instructions).select(*KEY, "offset", "length", "target")
+    return found if switches is None else found.unionByName(switches.select(*KEY, "offset", "length", "target"))
+
+
+def switch_cases(instructions: DataFrame, tails: DataFrame) -> DataFrame:
+    """bundle_id, function_id, offset, length, ordinal, value, string_id, target: the cases of switches over numbers and strings.
+
+    The case without value and string_id is the default; a switch whose table is not wholly there has no other.
+    """
+    o = lambda k: F.try_element_at("operands", F.lit(k + 1))["val_i"]
+    texts = F.col("name") == "StringSwitchImm"
+    of = lambda a, b: F.when(texts, a).otherwise(b)
+    found = instructions.where(F.col("name").isin(*SWITCHES)).select(
+        *KEY, "offset", "length", texts.alias("texts"), of(o(2), o(1)).alias("table"), (F.col("offset") + of(o(3), o(2))).alias("default"),
+        of(F.lit(0), o(3)).cast("long").alias("least"), of(o(4), o(4) - o(3) + 1).alias("count"), of(F.lit(8), F.lit(4)).alias("width"),
+    )
+    place = F.floor((F.col("start") + F.col("offset") + F.col("table") + 3) / 4) * 4 - F.col("start") - F.col("size")
+    held = found.join(tails, KEY).withColumn("place", place.cast("long"))
+    whole = (F.col("count") > 0) & (F.col("place") >= 0) & (F.col("place") + F.col("count") * F.col("width") <= F.octet_length("tail"))
+    entry = held.where(whole).withColumn("ordinal", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1))).withColumn("at", (F.col("place") + F.col("ordinal") * F.col("width")).cast("int"))
+    jump = bits.signed32(bits.unsigned(F.col("tail"), F.col("at") + F.when(F.col("texts"), 4).otherwise(0), 4))
+    value, text = F.when(~F.col("texts"), bits.signed32(F.col("least") + F.col("ordinal"))), F.when(F.col("texts"), bits.unsigned(F.col("tail"), F.col("at"), 4))
+    cases = entry.select(*KEY, "offset", "length", "ordinal", value.alias("value"), text.alias("string_id"), (F.col("offset") + jump).alias("target"))
+    nothing = F.lit(None).cast("long")
+    return cases.unionByName(found.select(*KEY, "offset", "length", nothing.alias("ordinal"), nothing.alias("value"), nothing.alias("string_id"), F.col("default").alias("target")))
+
+
+def blocks(instructions: DataFrame, handlers: DataFrame, switches: DataFrame | None = None) -> DataFrame:
+    """bundle_id, function_id, block_id, start, end: a block starts at the entry, at jump targets, after jumps and ends, at handler boundaries.
+
+    With switches, what switch_cases gives, their targets and what follows them start blocks too.
+    """
+    j = all_jumps(instructions, switches)
     starts = (
         instructions.groupBy(*KEY).agg(F.min("offset").alias("offset"))
         .union(j.select(*KEY, "target")).union(j.select(*KEY, F.col("offset") + F.col("length")))
@@ -35,13 +69,13 @@ def blocks(instructions: DataFrame, handlers: DataFrame) -> DataFrame:
     return numbered.groupBy(*KEY, "block_id").agg(F.min("offset").alias("start"), F.max(F.col("offset") + F.col("length")).alias("end"), F.max_by("name", "offset").alias("last"))
 
 
-def edges(instructions: DataFrame, cfg: DataFrame, handlers: DataFrame) -> DataFrame:
+def edges(instructions: DataFrame, cfg: DataFrame, handlers: DataFrame, switches: DataFrame | None = None) -> DataFrame:
     """bundle_id, function_id, src, dst, kind: jump, fall (through) or exception."""
     ends = cfg.select(*KEY, F.col("block_id").alias("src"), "end", "last", "start")
     heads = cfg.select(*KEY, F.col("block_id").alias("dst"), F.col("start").alias("at"))
-    j = jumps(instructions).withColumn("end", F.col("offset") + F.col("length"))
+    j = all_jumps(instructions, switches).withColumn("end", F.col("offset") + F.col("length"))
     taken = ends.join(j.select(*KEY, "end", "target"), [*KEY, "end"]).withColumnRenamed("target", "at").join(heads, [*KEY, "at"]).select(*KEY, "src", "dst", F.lit("jump").alias("kind"))
-    stops = F.col("last").isin(*ENDS, "Jmp", "JmpLong", "JmpShort")
+    stops = F.col("last").isin(*ENDS, *SWITCHES, "Jmp", "JmpLong", "JmpShort")
     through = ends.where(~stops).withColumnRenamed("end", "at").join(heads, [*KEY, "at"]).select(*KEY, "src", "dst", F.lit("fall").alias("kind"))
     tries = handlers.select(*KEY, F.col("start").alias("s"), F.col("end").alias("e"), F.col("target").alias("at"))
     caught = ends.join(tries, KEY).where("start >= s AND start < e").join(heads, [*KEY, "at"]).select(*KEY, "src", "dst", F.lit("exception").alias("kind"))

@@ -54,6 +54,16 @@ def call_edges(instructions: DataFrame, closure: str = "CreateClosure", copy: st
     return found
 
 
+def builtin_calls(instructions: DataFrame, versions: DataFrame, builtins: DataFrame) -> DataFrame:
+    """bundle_id, function_id, offset, builtin, name of calls of builtins; the table is the one of versions.table_version.
+
+    An index that the table does not hold has a null name. versions is what sources.bundles.table_version gives.
+    """
+    calls = instructions.where(F.col("name").isin("CallBuiltin", "CallBuiltinLong", "GetBuiltinClosure")).select(*KEY, "offset", operand(1).alias("builtin"))
+    names = builtins.select(F.col("version").alias("table_version"), F.col("builtin").cast("long").alias("builtin"), F.col("name"))
+    return calls.join(versions.select("bundle_id", "table_version"), "bundle_id", "left").join(names, ["table_version", "builtin"], "left").select(*KEY, "offset", "builtin", "name")
+
+
 def module_registry(instructions: DataFrame, strings: DataFrame, define: str = "__d") -> DataFrame:
     """bundle_id, module_id, function_id, array_offset: calls define(factory, id, …) whose function, factory and id are known.
 

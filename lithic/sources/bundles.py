@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,6 +21,7 @@ SCHEMAS = {
     "sections": "bundle_id string, name string, offset long, size long, entries long",
     "pair_tables": "bundle_id string, table string, ordinal long, first long, second long",
     "bodies": "bundle_id string, version int, function_id long, body binary",
+    "tails": "bundle_id string, function_id long, start long, size long, tail binary",
     "debug_status": "bundle_id string, status string",
     "debug_locations": "bundle_id string, function_id long, ordinal int, bytecode_offset long, line long, column long, scope_offset long",
     "function_scopes": "bundle_id string, function_id long, scope_offset long",
@@ -53,6 +55,11 @@ def rows_of(kind: str, bundle: str, data: bytes, layout: str | None) -> Iterator
         yield from ((bundle, name, k, *p) for name, pairs in im.tables.items() for k, p in enumerate(pairs))
     elif kind == "bodies":
         yield from ((bundle, im.version, f["function_id"], data[f["offset"] : f["offset"] + f["size"]]) for f in im.functions)
+    elif kind == "tails":  # what lies between a function's body and the next one: its jump tables
+        starts = sorted({f["offset"] for f in im.functions} | {len(data) - I.FOOTER_SIZE})
+        for f in im.functions:
+            end = f["offset"] + f["size"]
+            yield bundle, f["function_id"], f["offset"], f["size"], data[end : next(iter(starts[bisect_left(starts, end) :]), end)]
     else:
         found = debug.read(data, im)
         if kind == "debug_status":
@@ -108,6 +115,12 @@ def opcode_tables(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def builtin_tables(spark: SparkSession, path: str) -> DataFrame:
+    """version, builtin, name of JSON lists of names in files whose names end with a version (data: none is shipped)."""
+    raw = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"(\d+)\.json$", 1).cast("int").alias("version"), F.from_json("value", "array<string>").alias("names"))
+    return raw.where("version IS NOT NULL").select("version", F.posexplode("names").alias("builtin", "name"))
+
+
 def table_version(bundles: DataFrame, opcodes: DataFrame) -> DataFrame:
     """bundle_id, version, table_version: the latest table not after a bundle's version; a fixed, small dimension."""
     have = opcodes.select(F.col("version").alias("table_version")).distinct()

@@ -294,7 +294,7 @@ def encode_body(instructions: list[tuple[int, list]], opcodes: dict[int, tuple[s
 def build(version: int, strings: list[str], functions: list[dict], *, handlers: dict[int, list[tuple[int, int, int]]] | None = None, options_raw: int = 0, tables: dict | None = None, buffers: dict | None = None, debug: tuple[bytes, dict[int, tuple[int, int]]] | None = None) -> bytes:
     """A sealed image: functions have body, name_id and optionally param_count, frame_size, flags; strings are identifiers.
 
-    Functions with handlers, debug offsets or large fields get an out-of-line header; debug is what debug.build gives.
+    A function's table of jumps, if any, follows its body and is not of its size. Functions with handlers, debug offsets or large fields get an out-of-line header; debug is what debug.build gives.
     """
     handlers, tables, buffers = handlers or {}, tables or {}, buffers or {}
     section, debug_offsets = debug or (b"", {})
@@ -343,6 +343,9 @@ def build(version: int, strings: list[str], functions: list[dict], *, handlers:
         bodies_at.append(at)
         body_parts.append(f["body"])
         at += len(f["body"])
+        if "table" in f:  # jump tables begin at a multiple of four
+            body_parts.append(b"\x00" * (-at % 4) + f["table"])
+            at += len(body_parts[-1])
     tail = b"".join(body_parts)
     tail += b"\x00" * (-at % 4)
     at += -at % 4

@@ -32,6 +32,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -136,30 +137,46 @@ def bits_for(rows: int) -> int:
 
 
 def bitmap(df: DataFrame, column: str, bits: int) -> np.ndarray:
-    """The column's values as bits of a map of 2**bits; at most 2**(bits - 6) rows reach the driver."""
+    """The column's values as bits of a map of 2**bits.
+
+    Executors pack the map's words, 12 bytes each, thousands in a row; the driver fetches them from a file, a partition
+    at a time, and so holds little beside the map (a row for each word took it over 1.5 GB).
+    """
     low = F.col(column).bitwiseAND((1 << bits) - 1)
     bit = F.expr("shiftleft(1L, cast(_b as int))")
-    words = df.select(F.shiftright(low, 6).alias("_w"), low.bitwiseAND(63).alias("_b")).groupBy("_w").agg(F.bit_or(bit).alias("_v")).toPandas()
+    words = df.select(F.shiftright(low, 6).alias("_w"), low.bitwiseAND(63).alias("_b")).groupBy("_w").agg(F.bit_or(bit).alias("_v"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, v = np.asarray(b.column(0)).astype(np.int32), np.asarray(b.column(1))
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (at, v)], names=["at", "words"])
+
+    packed = cut(words.mapInArrow(pack, "at binary, words binary"))
     out = np.zeros(1 << (bits - 6), np.uint64)
-    out[words["_w"].to_numpy(dtype=np.int64)] = words["_v"].to_numpy(dtype=np.int64).view(np.uint64)
+    for r in packed.toLocalIterator():
+        out[np.frombuffer(r["at"], np.int32)] = np.frombuffer(r["words"], np.uint64)
+    drop(packed)
     return out
 
 
+def sent(df: DataFrame, column: str, bits: int) -> Broadcast:
+    """The bitmap, sent to workers; destroy() it after its last use."""
+    return df.sparkSession.sparkContext.broadcast(bitmap(df, column, bits))
+
+
 def hits(values: np.ndarray, bits: np.ndarray) -> np.ndarray:
     low = values.astype(np.uint64) & U(64 * len(bits) - 1)
     return (bits[(low >> U(6)).astype(np.int64)] >> (low & U(63))) & U(1) == 1
 
 
-def sets(docs: DataFrame, width: int, percent: int, emit: str, ids: np.ndarray | None = None, sigs: np.ndarray | None = None) -> DataFrame:
+def sets(docs: DataFrame, width: int, percent: int, emit: str, ids_b: Broadcast | None = None, sigs_b: Broadcast | None = None) -> DataFrame:
     """One pass over texts (columns id, text).
 
     emit 'digest': id, n, d for every row. 'blocks': sig, d. 'tokens': d, tokens. Rows whose id is not in the bitmap
-    ids, and blocks not in sigs, are left out.
+    ids_b, and blocks not in sigs_b, are left out.
     """
-    sc = docs.sparkSession.sparkContext
-    ids_b, sigs_b = (sc.broadcast(x) if x is not None else None for x in (ids, sigs))
     schema = {"digest": "id long, n long, d long", "blocks": "sig long, d long, class int, spare int", "tokens": "d long, tokens array<long>"}[emit]
-    if emit == "blocks" and sigs is None:
+    if emit == "blocks" and sigs_b is None:
         schema = "sig long, d long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,23 +323,28 @@ def contracted(cells: DataFrame, grouped: DataFrame, tokens: DataFrame, percent:
 def links_between(docs: DataFrame, known: DataFrame, width: int, percent: int, bits: int) -> DataFrame | None:
     """d, comp for the sets that have links; None if there are none. known: d, id (of one row with the set)."""
     texts = docs.select("id", "text")
-    reps = bitmap(known.where("id IS NOT NULL"), "id", bits)
-    rows = sets(texts, width, percent, "blocks", ids=reps)
+    reps = sent(known.where("id IS NOT NULL"), "id", bits)
+    rows = sets(texts, width, percent, "blocks", reps)
     shared = cut(rows.groupBy("sig").agg(F.min("d").alias("_lo"), F.max("d").alias("_hi"), F.count(F.lit(1)).alias("often")).where("_lo <> _hi").select("sig", "often"))
     if not shared.limit(1).count():
+        reps.destroy()
         return None
-    again = sets(texts, width, percent, "blocks", ids=reps, sigs=bitmap(shared, "sig", bits))
+    common = sent(shared, "sig", bits)
+    again = sets(texts, width, percent, "blocks", reps, common)
     held = again.join(shared, "sig").groupBy("sig", "d", "class", "spare", "often").agg(F.count(F.lit(1)).alias("_n"))
     # Of each set's blocks of a class the `spare` most frequent are left out, in one order for all sets.
     own = Window.partitionBy("d", "class")
     ranked = held.withColumn("_r", F.row_number().over(own.orderBy(F.desc("often"), "sig"))).withColumn("weight", F.sum(F.log("often")).over(own))
     kept = cut(ranked.where("_r > spare").select("sig", "d", "weight"))
+    reps.destroy()
+    common.destroy()
     # The leader of a block is the set whose own blocks are shared most: the middle of a family, not its edge.
     leads = kept.groupBy("sig").agg(F.max_by("d", F.struct("weight", "d")).alias("lead"), F.min("d").alias("_lo"), F.max("d").alias("_hi")).where("_lo <> _hi").select("sig", "lead")
     members = cut(kept.join(leads, "sig").select("sig", "d", "lead"))
     involved = members.select("d").distinct()
-    ids = bitmap(known.join(involved, "d", "left_semi").where("id IS NOT NULL"), "id", bits)
-    tokens = cut(sets(texts, width, percent, "tokens", ids=ids).join(involved, "d", "left_semi").dropDuplicates(["d"]))
+    ids = sent(known.join(involved, "d", "left_semi").where("id IS NOT NULL"), "id", bits)
+    tokens = cut(sets(texts, width, percent, "tokens", ids).join(involved, "d", "left_semi").dropDuplicates(["d"]))
+    ids.destroy()
 
     # 1. Groups: each set against the leader with which it shares most blocks, then contraction in rounds.
     ranked = members.where("d <> lead").groupBy("d", "lead").agg(F.count(F.lit(1)).alias("n"))
@@ -391,7 +413,7 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc
     gone = found.where("id IS NOT NULL AND id <> component_id").select(F.col("id").alias(mine), F.col("d").alias("_" + of)).distinct()
     repeated = found.where("id IS NOT NULL").groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")
     gone = cut(gone)
-    bits = docs.sparkSession.sparkContext.broadcast(bitmap(gone.select(F.col(mine).alias("id")).union(repeated), "id", bits_for(found.count())))
+    bits = sent(gone.select(F.col(mine).alias("id")).union(repeated), "id", bits_for(found.count()))
     columns = docs.columns
     at, where = columns.index(key), columns.index(text)
     with_digest = StructType([*docs.schema.fields, StructField(of, LongType())])

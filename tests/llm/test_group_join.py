@@ -1,5 +1,6 @@
 import itertools
 import random
+import tracemalloc
 
 import pytest
 
@@ -100,3 +101,18 @@ def test_pigeonhole_never_misses():
             b = group_join.np.unique(group_join.np.concatenate([a, extra]))
             if 100 * len(a) >= percent * len(b):
                 assert prefixes_meet(a, b, percent)
+
+
+def test_bitmap_is_whole_and_small_on_the_driver(spark):
+    np, bits = group_join.np, 23
+    values = group_join.mix(np.arange(200_000, dtype=group_join.U)).view(np.int64)
+    df = spark.createDataFrame([(int(v),) for v in values], "v long")
+    low = values.view(group_join.U) & group_join.U((1 << bits) - 1)
+    wanted = np.zeros(1 << (bits - 6), group_join.U)
+    np.bitwise_or.at(wanted, (low >> group_join.U(6)).astype(np.int64), group_join.U(1) << (low & group_join.U(63)))
+    tracemalloc.start()
+    got = group_join.bitmap(df, "v", bits)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (got == wanted).all() and peak < 8 * got.nbytes
+    assert not group_join.bitmap(df.limit(0), "v", bits).any()

@@ -48,8 +48,8 @@ SALT = [U((int(x) * (j + 1)) % (1 << 64)) for j, x in enumerate(ODD)]
 LEAST_BITS, MOST_BITS = 18, 28
 #: A key with 1/HOT of all rows or more is hot.
 HOT = 1024
-#: So many pairs (16 bytes each) are broadcast.
-FEW = 1_000_000
+#: So many pairs are broadcast, for both sides at once: the driver builds two hash tables of about 100 bytes a pair.
+FEW = 250_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:

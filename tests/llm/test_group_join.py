@@ -116,3 +116,14 @@ def test_bitmap_is_whole_and_small_on_the_driver(spark):
     tracemalloc.stop()
     assert (got == wanted).all() and peak < 8 * got.nbytes
     assert not group_join.bitmap(df.limit(0), "v", bits).any()
+
+
+def test_many_pairs_are_not_broadcast(spark, monkeypatch):
+    """Above the bound, pairs and tokens are shuffled; the same links come of it."""
+    asked, matched = [], group_join.matched
+    monkeypatch.setattr(group_join, "matched", lambda left, key, right: asked.append(key) or matched(left, key, right))
+    pairs = group_join.cut(spark.range(300_000).selectExpr("id AS a", "id + 300000 AS b"))
+    tokens = group_join.cut(spark.range(600_000).selectExpr("id AS d", "array(id % 300000, if(id % 3 = 0, id, 0)) AS tokens"))
+    found = group_join.verified(pairs, tokens, 90)
+    assert asked == ["a", "b"]
+    assert found.count() == found.where("b = a + 300000 AND a % 3 <> 0").count() == 200_000

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import json
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +30,9 @@ SCHEMAS = {
     "callees": "bundle_id string, address long, name string",
 }
 
+#: Rows of a fact table that a task holds as objects before they become a batch.
+MOST_ROWS = 4096
+
 
 def rows_of(kind: str, bundle: str, data: bytes, layout: str | None) -> Iterator[tuple]:
     """The rows of one fact table of one image; of an unreadable image only its `bundles` row, with the reason."""
@@ -61,17 +65,31 @@ def rows_of(kind: str, bundle: str, data: bytes, layout: str | None) -> Iterator
             end = f["offset"] + f["size"]
             yield bundle, f["function_id"], f["offset"], f["size"], data[end : next(iter(starts[bisect_left(starts, end) :]), end)]
     else:
-        found = debug.read(data, im)
+        found = debug.section(data, im)
         if kind == "debug_status":
             yield bundle, found.status
         elif kind == "debug_locations":
-            yield from ((bundle, *x) for x in found.locations)
+            yield from ((bundle, *x) for x in debug.each_location(data, im, found))
         elif kind == "function_scopes":
-            yield from ((bundle, *x) for x in found.function_scopes)
+            yield from ((bundle, *x) for x in debug.each_function_scope(data, im, found))
         elif kind == "scopes":
-            yield from ((bundle, at, parent, flags, bool(flags & debug.INNER), bool(flags & debug.DYNAMIC), names) for at, parent, flags, names in found.scopes)
+            yield from ((bundle, at, parent, flags, bool(flags & debug.INNER), bool(flags & debug.DYNAMIC), names) for at, parent, flags, names in found.scopes())
         elif kind == "callees":
-            yield from ((bundle, *x) for x in found.callees.items())
+            yield from ((bundle, *x) for x in found.callees().items())
+
+
+def batched(rows: Iterable[tuple], schema: pa.Schema, most: int = MOST_ROWS) -> Iterator[pa.RecordBatch]:
+    """rows in batches of at most `most`; no more than one batch's rows are objects at a time."""
+    rows = iter(rows)
+    while found := list(islice(rows, most)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), schema.types, strict=True)], schema=schema)
+
+
+def pieces(batches: Iterable[pa.RecordBatch], most: int = 64) -> Iterator[list[dict]]:
+    """The rows of batches, at most `most` at a time: a whole batch as objects takes many times its size."""
+    for b in batches:
+        for k in range(0, b.num_rows, most):
+            yield b.slice(k, most).to_pylist()
 
 
 def facts(files: DataFrame, kind: str, layout: str | None = None) -> DataFrame:
@@ -82,16 +100,8 @@ def facts(files: DataFrame, kind: str, layout: str | None = None) -> DataFrame:
     schema = to_arrow_schema(_parse_datatype_string(SCHEMAS[kind]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for path, content in zip(b.column(0), b.column(1), strict=True):
-                found = []
-                for row in rows_of(kind, path.as_py(), content.as_py() or b"", layout):
-                    found.append(row)
-                    if len(found) == 20_000:
-                        yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in found], schema)
-                        found = []
-                if found:
-                    yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in found], schema)
+        files = ((path.as_py(), content.as_py() or b"") for b in batches for path, content in zip(b.column(0), b.column(1), strict=True))
+        return batched((row for path, content in files for row in rows_of(kind, path, content, layout)), schema)
 
     return files.select("path", "content").mapInArrow(run, SCHEMAS[kind])
 
@@ -140,17 +150,14 @@ def instructions(bodies: DataFrame, opcodes: DataFrame) -> DataFrame:
 
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
+    def decoded(r: dict) -> Iterator[tuple]:
+        known = [v for v in versions if v <= r["version"]]
+        for at, op, name, size, operands in I.decode_body(r["body"] or b"", tables[known[-1]]) if known else ():
+            ops = [{"ty": t, "val_i": None if isinstance(v, float) else v, "val_f": v if isinstance(v, float) else None} for t, v in operands]
+            yield r["bundle_id"], r["function_id"], at, op, name, size, ops
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for r in b.to_pylist():
-                known = [v for v in versions if v <= r["version"]]
-                if not known:
-                    continue
-                for at, op, name, size, operands in I.decode_body(r["body"] or b"", tables[known[-1]]):
-                    ops = [{"ty": t, "val_i": None if isinstance(v, float) else v, "val_f": v if isinstance(v, float) else None} for t, v in operands]
-                    out.append({"bundle_id": r["bundle_id"], "function_id": r["function_id"], "offset": at, "opcode": op, "name": name, "length": size, "operands": ops})
-            yield pa.RecordBatch.from_pylist(out, arrow)
+        return batched((row for rows in pieces(batches) for r in rows for row in decoded(r)), arrow)
 
     return bodies.mapInArrow(run, schema)
 

@@ -1,8 +1,11 @@
 import random
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 
 from lithic.operators import debug as D
+from lithic.plans import program_bindings as P
 from lithic.sources import bundles, debug
 from lithic.sources import image as I
 
@@ -87,3 +90,56 @@ def test_tables(spark):
     asked = facts["functions"].where("bundle_id = 'new' AND function_id IN (0, 3)").selectExpr("bundle_id", "function_id", "explode(array(0L, 5L, 9L)) AS offset")
     found = {(r.function_id, r.offset): (r.line, r.column) for r in D.located(asked, facts["debug_locations"]).collect()}
     assert found == {(0, 0): (1, 1), (0, 5): (3, 9), (0, 9): (2, 0), (3, 0): (None, None), (3, 5): (None, None), (3, 9): (None, None)}
+
+
+def objects_mb(run, batches):
+    """The most that Python's objects take while run works through batches, in MB."""
+    tracemalloc.start()
+    try:
+        rows = sum(b.num_rows for b in run(iter(batches)))
+        return rows, tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+class Held:
+    """Stands for a DataFrame, keeps the function of its mapInArrow."""
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, run, _):  # noqa: N802
+        self.run = run
+        return self
+
+
+def test_memory_does_not_grow_with_the_rows_of_an_image():
+    streams = {f: [(k, k + 1, f % 9) for k in range(400)] for f in range(200)}
+    made = debug.build(96, streams, SCOPES, {})
+    data = I.build(96, ["f"], [{"body": BODY, "name_id": 0} for _ in streams], debug=made)
+    run = bundles.facts(Held(), "debug_locations").run
+    rows, mb = objects_mb(run, [pa.record_batch({"path": ["x"], "content": pa.array([data], pa.binary())})])
+    assert rows == 200 * 400 and mb < 10
+
+
+def test_memory_does_not_grow_with_the_files_of_a_batch(spark, tmp_path, monkeypatch):
+    orders = spark.range(1200).selectExpr("id AS o_orderkey", "id div 6 AS o_custkey", "'1-URGENT' AS o_orderpriority")
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(4800).selectExpr("id div 4 AS l_orderkey", "CAST(id % 4 AS INT) + 1 AS l_linenumber", "id % 100 AS l_suppkey").write.parquet(f"{tmp_path}/lineitem.parquet")
+    held = []
+    monkeypatch.setattr(type(orders), "mapInArrow", lambda self, run, _: held.append((self, run)) or self)
+    monkeypatch.setattr(P.graphs, "settle", lambda df: df)
+    P.debug_images(spark, str(tmp_path))
+    (before, run), = held
+    few = before.toArrow().combine_chunks()
+    many = pa.concat_tables([few] * 20).combine_chunks()
+    (rows, small), (rows_20, large) = objects_mb(run, few.to_batches()), objects_mb(run, many.to_batches())
+    assert (rows, rows_20) == (200, 4000) and large < 1.5 * small
+
+
+def test_rows_of_several_images_come_in_batches():
+    data = sample(96)
+    files = pa.record_batch({"path": [f"p{k}" for k in range(2000)], "content": pa.array([data] * 2000, pa.binary())})
+    made = list(bundles.facts(Held(), "debug_locations").run(iter([files])))
+    assert sum(b.num_rows for b in made) == 2000 * 4 and len(made) <= 3
+    assert made[0].slice(0, 4).to_pylist() == [dict(zip(made[0].schema.names, r, strict=True)) for r in bundles.rows_of("debug_locations", "p0", data, None)]

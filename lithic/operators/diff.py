@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import difflib
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..sources.bundles import batched, pieces
 from .rows import numbered
 
 ALIGNED = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("kind", "old", "new")]))
@@ -54,21 +56,44 @@ def renames(old: DataFrame, new: DataFrame) -> DataFrame:
     return gone.select("name", F.sha2("body", 256).alias("h")).distinct().join(target, "h").groupBy("name").agg(F.min("new_name").alias("new_name"))
 
 
-@F.pandas_udf(ALIGNED)
-def align_lines(old: pd.Series, new: pd.Series) -> pd.Series:
-    """Line by line: same, changed, removed, added."""
-
-    def one(a: str | None, b: str | None) -> list[dict]:
-        x, y = (a or "").split("\n"), (b or "").split("\n")
-        out = []
-        for tag, i, j, k, m in difflib.SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
-            if tag == "equal":
-                out += [{"kind": "same", "old": line, "new": line} for line in x[i:j]]
-                continue
-            both = min(j - i, m - k)
-            out += [{"kind": "changed", "old": p, "new": q} for p, q in zip(x[i : i + both], y[k : k + both], strict=True)]
-            out += [{"kind": "removed", "old": p, "new": None} for p in x[i + both : j]]
-            out += [{"kind": "added", "old": None, "new": q} for q in y[k + both : m]]
-        return out
-
-    return pd.Series([one(a, b) for a, b in zip(old, new, strict=True)])
+def aligned(old: str | None, new: str | None) -> list[tuple[str, str | None, str | None]]:
+    """(kind, old, new), line by line: same, changed, removed, added."""
+    x, y = (old or "").split("\n"), (new or "").split("\n")
+    out: list[tuple[str, str | None, str | None]] = []
+    for tag, i, j, k, m in difflib.SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
+        if tag == "equal":
+            out += [("same", line, line) for line in x[i:j]]
+            continue
+        both = min(j - i, m - k)
+        out += [("changed", p, q) for p, q in zip(x[i : i + both], y[k : k + both], strict=True)]
+        out += [("removed", p, None) for p in x[i + both : j]]
+        out += [("added", None, q) for q in y[k + both : m]]
+    return out
+
+
+@F.arrow_udf(ALIGNED)
+def align_lines(old: pa.Array, new: pa.Array) -> pa.Array:
+    """Line by line: same, changed, removed, added. A batch's lines are columns, and only one pair's are objects."""
+    ends, columns = [0], [[], [], []]
+    for a, b in zip(old, new, strict=True):
+        lines = aligned(a.as_py(), b.as_py())
+        ends.append(ends[-1] + len(lines))
+        for column, values in zip(columns, zip(*lines, strict=True), strict=True):
+            column.append(pa.array(values, pa.string()))
+    whole = [pa.chunked_array(c, pa.string()).combine_chunks() for c in columns]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(whole, ["kind", "old", "new"]))
+
+
+def aligned_lines(pairs: DataFrame, old: str, new: str) -> DataFrame:
+    """pairs without the columns old and new, a row a line of align_lines: kind, old, new. Lines leave in small batches."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    keep = [c for c in pairs.columns if c not in (old, new)]
+    schema = T.StructType([*(pairs.schema[c] for c in keep), *ALIGNED.elementType.fields])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((*(r[c] for c in keep), *line) for piece in pieces(batches) for r in piece for line in aligned(r[old], r[new]))
+        return batched(rows, arrow)
+
+    return pairs.mapInArrow(run, schema)

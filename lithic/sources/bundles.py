@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
-from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,8 +29,8 @@ SCHEMAS = {
     "callees": "bundle_id string, address long, name string",
 }
 
-#: Rows of a fact table that a task holds as objects before they become a batch.
-MOST_ROWS = 4096
+#: Rows, and bytes of text in them, that a task holds as objects before they become a batch.
+MOST_ROWS, MOST_BYTES = 4096, 1 << 22
 
 
 def rows_of(kind: str, bundle: str, data: bytes, layout: str | None) -> Iterator[tuple]:
@@ -78,11 +77,19 @@ def rows_of(kind: str, bundle: str, data: bytes, layout: str | None) -> Iterator
             yield from ((bundle, *x) for x in found.callees().items())
 
 
-def batched(rows: Iterable[tuple], schema: pa.Schema, most: int = MOST_ROWS) -> Iterator[pa.RecordBatch]:
-    """rows in batches of at most `most`; no more than one batch's rows are objects at a time."""
-    rows = iter(rows)
-    while found := list(islice(rows, most)):
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), schema.types, strict=True)], schema=schema)
+def batched(rows: Iterable[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """rows in batches of MOST_ROWS, or of fewer with MOST_BYTES of text; only one batch's rows are objects at a time."""
+    wide = [k for k, t in enumerate(schema.types) if pa.types.is_string(t) or pa.types.is_binary(t)]
+    batch = lambda found: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), schema.types, strict=True)], schema=schema)
+    found, size = [], 0
+    for row in rows:
+        found.append(row)
+        size += sum(len(row[k]) for k in wide if row[k] is not None)
+        if len(found) == MOST_ROWS or size > MOST_BYTES:
+            yield batch(found)
+            found, size = [], 0
+    if found:
+        yield batch(found)
 
 
 def pieces(batches: Iterable[pa.RecordBatch], most: int = 64) -> Iterator[list[dict]]:

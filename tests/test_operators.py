@@ -151,3 +151,35 @@ def test_call_graph_has_every_line_item(spark, tmp_path):
     assert [(r.depth, r.node) for r in sorted(run("dependency_tree"), key=lambda r: r.ordinal)] == [(0, 0), (1, 1), (2, 2), (3, 1), (1, 3)]
     assert {(r.node, r.dominator) for r in run("dominators")} == {(0, 0), (1, 0), (1, 1), (2, 0), (2, 1), (2, 2), (3, 0), (3, 3)}
     assert {(r.header, r.latch, r.node) for r in run("natural_loops")} == {(1, 2, 1), (1, 2, 2)}
+
+
+def test_aligned_lines_leave_in_small_batches(spark, monkeypatch):
+    """As many rows as align_lines gives, and memory that does not grow with the pairs of a batch."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    some = [(1, "a\nb\nc", "a\nx\nc\nd"), (2, None, "q"), (3, "same", "same"), (4, "", ""), (5, "k\nl\nm", "")]
+    pairs = spark.createDataFrame(some, "id int, a string, b string")
+    want = {(r.id, i, *x) for r in pairs.select("id", diff.align_lines("a", "b").alias("l")).collect() for i, x in enumerate(r.l)}
+    got = [tuple(r) for r in diff.aligned_lines(pairs.coalesce(1), "a", "b").collect()]
+    assert sorted(map(repr, got)) == sorted(repr((k, *x)) for k, _, *x in want) and (1, "changed", "b", "x") in got and (1, "added", None, "d") in got
+    held = []
+    monkeypatch.setattr(type(pairs), "mapInArrow", lambda self, run, _: held.append(run))
+    diff.aligned_lines(pairs, "a", "b")
+    text = "\n".join(f"line {k} " + "x" * 200 for k in range(20))
+
+    def most(n, run):
+        batch = pa.record_batch({"id": pa.array(range(n), pa.int32()), "a": [f"{text}\n{k}" for k in range(n)], "b": [f"{k}\n{text}" for k in range(n)]})
+        tracemalloc.start()
+        try:
+            return run(batch), tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    rows = lambda batch: sum(b.num_rows for b in held[0](iter([batch])))
+    (few, small), (many, large) = most(400, rows), most(4000, rows)
+    assert (few, many) == (400 * 22, 4000 * 22) and large < 1.5 * small
+    column = lambda batch: len(diff.align_lines.func(batch.column(1), batch.column(2)))
+    (few, small), (many, large) = most(100, column), most(1000, column)
+    assert (few, many) == (100, 1000) and large < 3e6

@@ -131,3 +131,15 @@ def test_numbers_of_a_hot_key(spark):
     for name in ("", "x"):
         assert [got[name, i] for i in sorted(i for n, i in got if n == name)] == list(range(1, sum(n == name for n, _ in got) + 1))
     assert rows.numbered(df.limit(0), ["name"], "id", "k").collect() == []
+
+
+def test_cache_answer_meets_facts_once_in_parts_that_follow_the_rows(spark, monkeypatch):
+    """Two parents on a level, a slot hidden by an own one, a repeated slot, unknown and null ids; one shuffle by function after the lineage."""
+    parents = spark.createDataFrame([("b", 3, 2), ("b", 3, 9), ("b", 2, 1), ("c", 3, 1), ("b", 7, None)], "bundle_id string, child long, parent long")
+    slots = spark.createDataFrame([("b", 1, 0, 5, "v", "x"), ("b", 2, 0, 5, "v", "y"), ("b", 2, 0, 5, "v", "z"), ("b", 3, 1, 5, "v", "own"), ("b", 9, 0, 6, "v", "w"), ("b", 2, 0, None, "v", "n"), ("b", None, 0, 1, "v", "n")], "bundle_id string, function_id long, level int, slot long, kind string, value string")
+    ids = spark.createDataFrame([("b", 3), ("b", 3), ("b", 2), ("b", 8), ("c", 3), ("b", None), ("b", 7)], "bundle_id string, function_id long")
+    monkeypatch.setattr(program, "ROWS_A_PART", 1)
+    found = program.cache_answer(ids, parents, slots)
+    want = [("b", 3, "2,9,1", 1, 4), ("b", 2, "1", 3, 3), ("b", 8, "", 0, 0), ("c", 3, "1", 0, 0), ("b", None, "", 0, 0), ("b", 7, "", 0, 0)]
+    assert sorted(map(repr, (tuple(r) for r in found.collect()))) == sorted(map(repr, want))
+    assert found.rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
